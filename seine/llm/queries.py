@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seine.llm import decontaminate, sharding
+from seine.llm import decontaminate, packing, sharding, tokenfile
 from seine.llm.session import documents
 
 QUERIES: dict = {}
@@ -27,3 +28,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(documents(spark, sf_dir))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op3_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.read(tokenfile.write(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

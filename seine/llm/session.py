@@ -6,6 +6,7 @@ import uuid
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; long documents are bounded by the bytes below.
 BATCH_ROWS = 512
@@ -60,3 +61,20 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def in_order(docs: DataFrame, part_bytes: int = 256 << 20) -> DataFrame:
+    """Documents ranged over tasks by id and sorted there; equal ids go by their texts' hashes.
+
+    The number of ranges follows the bytes of text; two a core at least.
+    """
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(2 * spark.sparkContext.defaultParallelism, -(-total // part_bytes))
+    keys = [F.col("doc_id"), F.xxhash64("text")]
+    return docs.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+
+
+def ids_and_texts(documents: DataFrame) -> DataFrame:
+    """The two columns that an operator reads, whatever others there are."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
