@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seine.llm import decontaminate, packing, sharding, tokenfile
+from seine.llm import decontaminate, neardup, packing, sharding, tokenfile
 from seine.llm.session import documents
 
 QUERIES: dict = {}
@@ -39,3 +39,8 @@ def op3_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(documents(spark, sf_dir), shingle=2, percent=80)
