@@ -20,8 +20,8 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿŒœ"
 _UNSAFE = re.compile(f"[^\\n\\t\\r -~{_LETTERS}¿¡«»–—‘’“”…€]|<\\|")
 _BYTE_LEVEL = re.compile(f" ?[{_LETTERS}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\\s{_LETTERS}0-9]+|\\s+(?!\\S)|\\s+")
 _WORD_END = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+")
-#: Pre-tokens kept per worker; beyond it the memo starts anew.
-MEMO = 400_000
+#: Pre-tokens in each of the memo's two generations.
+MEMO = 300_000
 
 
 class Encoder:
@@ -38,6 +38,35 @@ class Encoder:
         self.lower = kind == "Sequence"
         self.cut = _WORD_END if self.lower else _BYTE_LEVEL
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.last = np.zeros(self.size, bool)  # ids that end a pre-token, if ids tell
+        self.newline = None if self.lower else self.library.encode("\n", add_special_tokens=False).ids[0]
+        if self.lower:
+            for token, i in self.library.get_vocab(with_added_tokens=True).items():
+                self.last[i] = token.endswith("</w>")
+
+    def _pretokens(self, texts: list[str]) -> list[bytes]:
+        """Ids of pre-tokens, encoded as one text in which each stays one.
+
+        Words end at their last ids; at byte level a new line parts them, and
+        those that hold white space themselves are encoded alone.
+        """
+        odd = [] if self.lower else [k for k, t in enumerate(texts) if t.isspace() or "\n" in t]
+        some = [t for t in texts if not (t.isspace() or "\n" in t)] if odd else texts
+        ids = np.array(self.library.encode((" " if self.lower else "\n").join(some), add_special_tokens=False).ids, self.dtype)
+        if self.lower:
+            end = np.flatnonzero(self.last[ids]) + 1
+            start = np.concatenate([[0], end[:-1]])
+        else:
+            end = np.append(np.flatnonzero(ids == self.newline), len(ids))
+            start = np.concatenate([[0], end[:-1] + 1])
+        if len(end) != len(some):
+            return self._whole(texts)
+        raw, size = ids.tobytes(), self.dtype.itemsize
+        out = [raw[a:b] for a, b in zip((start * size).tolist(), (end * size).tolist())]
+        for k, x in zip(odd, self._whole([texts[k] for k in odd])):
+            out.insert(k, x)
+        return out
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -57,11 +86,16 @@ class Encoder:
                 cut.append(parts)
                 fresh.update(parts)
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        missing = list(fresh.difference(self.memo))
+            self.memo, self.older = {}, self.memo
+        missing = []
+        for t in fresh.difference(self.memo):
+            if (known := self.older.get(t)) is not None:
+                self.memo[t] = known
+            else:
+                missing.append(t)
         for k in range(0, len(missing), 4096):
             part = missing[k : k + 4096]
-            self.memo.update(zip(part, self._whole(part)))
+            self.memo.update(zip(part, self._pretokens(part)))
         rest = iter(self._whole(whole))
         get = self.memo.__getitem__
         return [np.frombuffer(next(rest) if c is None else b"".join(map(get, c)), self.dtype) for c in cut]
