@@ -86,6 +86,14 @@ class Words:
     row: np.ndarray
     hash: np.ndarray
     first: np.ndarray  # index of each row's first word; one more than rows
+    total: np.ndarray  # prefix sums from which any byte range is hashed
+
+    def part_hash(self, size: int, last: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Words longer than ``size`` bytes, and the hash of their first (or last) so many."""
+        at = np.flatnonzero(self.end - self.start > size)
+        lo = self.end[at] - size if last else self.start[at]
+        _, inverse = _power(len(self.total))
+        return at, mix((self.total[lo + size] - self.total[lo]) * inverse[lo] + np.uint64(size * 2 + last << 32))
 
 
 def words(column: pa.Array, keep: np.ndarray) -> Words:
@@ -110,7 +118,7 @@ def words(column: pa.Array, keep: np.ndarray) -> Words:
     hashed = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
     first = np.searchsorted(start, at)
     row = np.repeat(np.arange(len(at) - 1), np.diff(first))
-    return Words(data, start, end, row, hashed, first)
+    return Words(data, start, end, row, hashed, first, total)
 
 
 def hash_word(word: str | bytes) -> int:
