@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seine.llm import chat, decontaminate, langid, neardup, packing, sharding, tokenfile, toxicity
+from seine.llm import chat, chroma, decontaminate, langid, neardup, packing, pii, sharding, tokenfile, toxicity
 from seine.llm.session import documents, ids_and_texts
 
 QUERIES: dict = {}
@@ -67,3 +67,15 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = toxicity.fold("doc_id", langid.FOLDS) == langid.HELD_OUT
     return langid.identify(docs, langid.train(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audio = F.udf(chroma.sonify, "binary", useArrow=True)("embedding")
+    prints = chroma.fingerprints(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", audio)
+    return chroma.search(prints, F.col("id") % 50 == 0).withColumnRenamed("id", "vec_id")
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))

@@ -153,8 +153,9 @@ def train(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, u
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
-    """All columns of the documents, and ``toxicity`` (0 to 1)."""
+    """All columns of the documents, and ``toxicity`` (0 to 1; a column of that name is replaced)."""
     tune(documents.sparkSession)
+    documents = documents.drop("toxicity")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,3 +164,15 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in documents.schema.fields)
     return documents.mapInArrow(run, f"{fields}, toxicity double")
+
+
+def clean(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The documents whose score is below the threshold; all columns stay."""
+    tune(documents.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text", _PIECE):
+                yield part.filter(pa.array(model.score(part.column("text")) < threshold))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -1,0 +1,72 @@
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from seine.llm import pii
+from seine.llm.queries import QUERIES
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute(text):
+    out = []
+    for kind, p in PATTERNS.items():
+        for m in re.finditer(p, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            twice = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(d))]
+            ok = {"email": lambda: True, "ip": lambda: all(int(x) <= 255 for x in m[0].split(".")), "card": lambda: 16 <= len(d) <= 19 and sum(x - 9 * (x > 9) for x in twice) % 10 == 0, "phone": lambda: 8 <= len(d) <= 15}[kind]()
+            if ok:
+                out.append((kind, *m.span()))
+    return out
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet="a1234509@.-+ ()%é\n", max_size=40))
+def test_base_is_the_patterns(text):
+    assert pii.base(text) == brute(text)
+
+
+def test_long_texts_are_linear():
+    for t in ("1" * 300_000, "a" * 300_000 + "@", "a@" * 100_000, "1." * 100_000, "+1" * 100_000, "1 " * 100_000, "+" + "1(" * 100_000):
+        pii.base(t)
+        pii.candidates(t)
+
+
+DETECTOR = pii.train()
+
+
+def test_added_spans():
+    for text, kind in [("please call: (555) 123-4567 now", "phone"), ("my ssn 123-45-6789, ok", "national_id"), ("mail jo.doe at host dot org today", "email"), ("iban: DE89370400440532013000 ok", "iban")]:
+        assert [k for k, _, _ in DETECTOR.spans(text)[1]] == [kind], text
+    for text in ["order 20230415123", "version 1.22.3.4000 of it", "total 1 234 567", "date 12.05.2021 1", "just words here", "we met at noon.then"]:
+        assert DETECTOR.spans(text)[1] == [], text
+
+
+def test_redact():
+    t = "a x.y@z.com, +1 (555) 123-4567!"
+    assert pii.redact(t, DETECTOR.spans(t)[1]) == "a [EMAIL], [PHONE]!"
+
+
+def test_odd_rows(spark):
+    docs = [(1, None), (2, ""), (3, "é a@b.co 10.0.0.1"), (3, "é a@b.co 10.0.0.1"), (None, "x"), (4, "9" * 200_000)]
+    df = spark.createDataFrame([(i, t, "q") for i, t in docs], "doc_id long, text string, spans string")
+    rows = pii.find(df, DETECTOR).collect()
+    assert len(rows) == 6 and [r.spans for r in rows if r.doc_id == 3] == ["email:2:8,ip:9:17"] * 2
+    assert pii.find(df.limit(0), DETECTOR).count() == 0
+    red = pii.redacted(df, DETECTOR)
+    assert red.columns == df.columns and {r.text for r in red.collect() if r.doc_id in (1, 2, 3)} == {None, "", "é [EMAIL] [IP]"}
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in QUERIES["op8_pii"](spark, sf).collect():
+        want = brute(texts[r.doc_id])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == kind for k, _, _ in want) for kind in pii.BASE)
+        assert set(filter(None, r.spans.split(","))) >= {f"{k}:{a}:{b}" for k, a, b in want}
