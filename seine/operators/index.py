@@ -53,18 +53,21 @@ def postings(files: DataFrame) -> DataFrame:
     return files.where("content is not null").select("file_id", F.col("content").cast("binary").alias("content")).mapInArrow(_trigrams, "tri int, file_id long")
 
 
-def numbered(files: DataFrame, first: int = 0) -> DataFrame:
+def numbered(files: DataFrame, to: str, first: int = 0) -> DataFrame:
     """``file_id`` from ``first`` in path order, without one task for all rows.
 
-    Sorted ranges get ids from their sizes; only those (one a task) reach the driver.
+    Sorted ranges are written below ``to``, then get ids from their sizes; only
+    those (one a task) reach the driver.
     """
+    spark = files.sparkSession
     ranged = files.repartitionByRange("path").sortWithinPartitions("path").withColumn("_part", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id())
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min("_n").alias("low")).orderBy("_part").collect()
+    ranged.write.parquet(to)
+    ranged = spark.read.parquet(to)
     at, rows = first, []
-    for r in sizes:
+    for r in ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min("_n").alias("low")).orderBy("_part").collect():
         rows.append((r["_part"], at - r["low"]))
         at += r["n"]
-    shift = files.sparkSession.createDataFrame(rows, "_part int, shift long")
+    shift = spark.createDataFrame(rows, "_part int, shift long")
     return ranged.join(F.broadcast(shift), "_part").withColumn("file_id", F.col("_n") + F.col("shift")).drop("_part", "_n", "shift")
 
 
@@ -92,14 +95,13 @@ class Index:
     def _write(self, files: DataFrame, to: str, first: int) -> int:
         """Manifest and postings of files; returns the next id."""
         flags = ["path", "mtime", "size", "too_large", "transcode", "is_binary", "nul_late"]
-        numbered(classify(files, self.cap), first).write.parquet(f"{to}/staged")
-        staged = self.spark.read.parquet(f"{to}/staged")
+        staged = numbered(classify(files, self.cap), f"{to}/staged", first)
         staged.select("file_id", *flags).write.parquet(f"{to}/manifest")
         tri = postings(staged.where("not too_large and not transcode and not is_binary"))
         tri.repartitionByRange("tri").sortWithinPartitions("tri", "file_id").write.parquet(f"{to}/postings")
         self.spark.read.parquet(f"{to}/postings").groupBy("tri").agg(F.count("*").alias("df")).write.parquet(f"{to}/stats")
         self.fs.delete_dir((to if "://" not in to else pafs.FileSystem.from_uri(to)[1]) + "/staged")
-        return (self.spark.read.parquet(f"{to}/manifest").agg(F.max("file_id")).first()[0] or first - 1) + 1
+        return first + self.spark.read.parquet(f"{to}/manifest").count()
 
     def build(self, corpus: DataFrame) -> Index:
         """A new generation of everything."""
@@ -135,7 +137,11 @@ class Index:
     def postings(self) -> DataFrame:
         return self._all("postings")
 
-    def update(self, corpus: DataFrame, under: str = "") -> Index:
+    def append(self, corpus: DataFrame) -> Index:
+        """As ``update``, but files that the corpus lacks stay as they are."""
+        return self.update(corpus, whole=False)
+
+    def update(self, corpus: DataFrame, under: str = "", whole: bool = True) -> Index:
         """Tombstones and one more segment for what changed; a rebuild once deltas weigh ``COMPACT``."""
         meta = self.meta()
         live = self.manifest()
@@ -143,13 +149,15 @@ class Index:
             inside = F.col("path").startswith(under.rstrip("/") + "/") | (F.col("path") == under.rstrip("/"))
             corpus, live = corpus.where(inside), live.where(inside)
         diff = freshness(corpus, live)
+        if not whole:
+            diff = diff.where("status <> 'dead'")
         gen, name = f"{self.path}/{meta['generation']}", str(len(meta["segments"]))
         dead = f"dead-{name}-{time.time_ns()}"
         diff.where("status in ('changed', 'dead')").select("file_id").write.parquet(f"{gen}/{dead}")
         fresh = corpus.join(diff.where("status in ('new', 'changed')").select("path"), "path", "left_semi")
         nxt = self._write(fresh, f"{gen}/{name}", meta["next_id"])
-        self._commit(**{k: v for k, v in meta.items() if k != "version"} | {"segments": [*meta["segments"], name], "dead": [*meta["dead"], dead], "next_id": nxt, "swept": meta["swept"] if under else time.time()})
-        if not under:
+        self._commit(**{k: v for k, v in meta.items() if k != "version"} | {"segments": [*meta["segments"], name], "dead": [*meta["dead"], dead], "next_id": nxt, "swept": meta["swept"] if under or not whole else time.time()})
+        if not under and whole:
             sizes = [self.spark.read.parquet(f"{gen}/{s}/stats").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0] for s in (*meta["segments"], name)]
             if sum(sizes[1:]) > COMPACT * sizes[0]:
                 return self.build(corpus)
