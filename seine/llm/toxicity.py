@@ -114,7 +114,10 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     if not positive or not unlabelled:
         return Model(np.zeros(0, np.int64), np.zeros((0, 1)), 0.0)
     prior = min(max(prior, 1e-3), 0.9)
-    dp, du = (np.bincount(np.concatenate(x).astype(np.int64), minlength=1 << BITS) for x in (positive, unlabelled))
+    dp, du = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for counts, rows in ((dp, positive), (du, unlabelled)):
+        for r in rows:
+            counts[r] += 1  # buckets of a text are distinct
     fp, fu = (dp + 0.5) / (len(positive) + 1), (du + 0.5) / (len(unlabelled) + 1)
     pooled = (dp + du + 1) / (len(positive) + len(unlabelled) + 2)
     z = np.abs(fp - fu) / np.sqrt(pooled * (1 - pooled) * (1 / len(positive) + 1 / len(unlabelled)))
