@@ -23,7 +23,7 @@ def lines(corpus: DataFrame, terminator: str = "lf") -> DataFrame:
     end = "\x00" if terminator == "nul" else "\n"
     body = F.regexp_replace("content", f"(?s){end}\\z", "")
     parts = F.split(body, "\r?\n" if terminator == "crlf" else end, -1)
-    return corpus.where(F.col("content") != "").select("path", F.posexplode(parts).alias("n", "line")).select("path", (F.col("n") + 1).alias("line_no"), "line")
+    return corpus.where(F.col("content") != "").select("path", F.posexplode(parts).alias("n", "line")).select("path", (F.col("n") + 1).cast("long").alias("line_no"), "line")
 
 
 def with_offsets(rows: DataFrame, terminator_bytes: int = 1) -> DataFrame:
