@@ -139,14 +139,19 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def search(prints: DataFrame, is_query: Column, min_votes: int = MIN_VOTES) -> DataFrame:
-    """Per recording: its best query (another recording), their offset, votes and bit error; null without one."""
+    """Per recording and query (another recording) that it aligns with: their offset, votes and bit error.
+
+    A recording that aligns with none has one row of nulls. The floor of votes
+    is ``min_votes``, or all integers of the shorter of the two if it has fewer.
+    """
     p = written(prints, "prints")
     one = p.where("id is not null").groupBy("id").agg(F.max_by("prints", F.struct(F.size("prints"), "prints_crc32")).alias("prints"))
-    posts = one.select("id", F.posexplode("prints").alias("at", "value"))
-    asked = one.where(is_query).select(F.col("id").alias("query_id"), F.posexplode("prints").alias("query_at", "value"))
-    votes = posts.join(asked, "value").where("id <> query_id").groupBy("id", "query_id", (F.col("at") - F.col("query_at")).alias("offset")).count()
-    best = votes.where(F.col("count") >= min_votes).groupBy("id").agg(F.max(F.struct(F.col("count").alias("votes"), (-F.col("query_id")).alias("q"), F.col("offset"))).alias("x"))
-    best = best.select("id", (-F.col("x.q")).alias("query_id"), "x.offset", "x.votes")
+    floor = F.least(F.size("prints"), F.lit(min_votes))
+    posts = one.select("id", floor.alias("floor"), F.posexplode("prints").alias("at", "value"))
+    asked = one.where(is_query).select(F.col("id").alias("query_id"), floor.alias("query_floor"), F.posexplode("prints").alias("query_at", "value"))
+    votes = posts.join(asked, "value").where("id <> query_id").groupBy("id", "query_id", (F.col("at") - F.col("query_at")).alias("offset"))
+    votes = votes.agg(F.count("*").alias("votes"), F.max(F.least("floor", "query_floor")).alias("floor")).where("votes >= floor")
+    best = votes.groupBy("id", "query_id").agg(F.max(F.struct("votes", "offset")).alias("x")).select("id", "query_id", "x.offset", "x.votes")
     pairs = best.join(one.select("id", F.col("prints").alias("a")), "id").join(one.select(F.col("id").alias("query_id"), F.col("prints").alias("b")), "query_id")
     found = pairs.select("id", "query_id", "offset", "votes", "a", "b").mapInArrow(_judged, "id long, query_id long, offset int, votes long, bit_error double")
     return p.select("id", F.size("prints").cast("long").alias("n_prints"), "prints_crc32").join(found, "id", "left")

@@ -32,6 +32,29 @@ def test_search_against_brute_force(spark):
     assert chroma.search(prints.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_every_pair_and_short_copies(spark):
+    a, short = melody(20), melody(21)[: chroma.FRAME + (chroma.WIDTH + 2) * chroma.HOP]
+    rows = [(0, a), (50, a), (100, a[8 * chroma.HOP :]), (1, a[3 * chroma.HOP :]), (2, a), (150, short), (3, short), (4, melody(22))]
+    own = {i: chroma.fingerprint(x) for i, x in rows}
+    assert 0 < len(own[3]) < chroma.MIN_VOTES
+    df = spark.createDataFrame([(i, x.tobytes()) for i, x in rows], "vec_id long, audio binary")
+    found = chroma.search(chroma.fingerprints(df, "vec_id", F.col("audio")), F.col("id") % 50 == 0).collect()
+    got = {(r.id, r.query_id): r for r in found}
+    assert len(got) == len(found)
+    want = {}
+    for i, x in own.items():
+        for q in {0, 50, 100, 150} - {i}:
+            offset, votes, error = chroma.align(x, own[q])
+            if votes >= min(chroma.MIN_VOTES, len(x), len(own[q])):
+                want[i, q] = votes
+        if not any(k[0] == i for k in want):
+            want[i, None] = None
+    assert {k: r.votes for k, r in got.items()} == want
+    assert {q for i, q in got if i == 1} == {0, 50, 100} and got[1, 0].offset == -3 and got[1, 100].offset == 5
+    assert all(r.bit_error == chroma.bit_error(own[i], own[q], r.offset) for (i, q), r in got.items() if q is not None)
+    assert (got[3, 150].votes, got[3, 150].bit_error, got[4, None].votes) == (len(own[3]), 0.0, None)
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = QUERIES["op6_chroma"](spark, sf).collect()
