@@ -3,7 +3,8 @@ r"""Personal data: base patterns, and candidates judged by gradient boosting.
 Base spans (e-mail, IP, card, phone) are found by fixed patterns and always
 stay. High-recall generators propose further, overlapping spans: obfuscated
 e-mails, phone numbers without a country sign, national numbers, IBANs, and
-cards or addresses that the base drops. Boosted regression trees over features
+cards or addresses that the base drops. Of a run of digits, less its base
+spans, every window of tokens is proposed. Boosted regression trees over features
 of a candidate's format and context give a log-odds, which Platt scaling
 calibrates; the least threshold that keeps a kind's precision at ``PRECISION``
 on calibration data selects spans, best first, none overlapping another.
@@ -24,7 +25,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -95,32 +96,69 @@ def base(text: str) -> list[Span]:
 
 _OBFUSCATED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:@|\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\[dot\]|\(dot\)| dot ) ?[A-Za-z0-9-]{1,63}){1,4}", re.I)
 _RUN = re.compile(r"[+(]?[0-9][0-9 ().\-/]*+")
+_TOKEN = re.compile(r"[^ ]+")
+#: Most characters of a number that is proposed from a run.
+LONGEST = 40
+#: Candidates judged at once.
+BLOCK = 4096
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 
 
-def candidates(text: str) -> list[Span]:
-    """Proposed spans, overlapping and of several kinds."""
-    out: set[Span] = set()
+def _covered(spans: list[Span]) -> list[tuple[int, int]]:
+    """Ranges that the spans cover, sorted and apart."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def _outside(lo: int, hi: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Parts of a range outside the taken ones, which are sorted and apart."""
+    k = max(0, bisect_left(taken, (lo, lo)) - 1)
+    while k < len(taken) and taken[k][0] < hi:
+        if lo < taken[k][0]:
+            yield lo, taken[k][0]
+        lo = max(lo, taken[k][1])
+        k += 1
+    if lo < hi:
+        yield lo, hi
+
+
+def _proposed(text: str, taken: list[tuple[int, int]]) -> Iterator[Span]:
+    """Proposed spans, overlapping and of several kinds, none twice.
+
+    Of a run of digits, without its ``taken`` ranges, every window of
+    consecutive tokens whose length and digits fit a kind is proposed.
+    """
     if " dot " in text.lower() or "dot]" in text.lower() or "dot)" in text.lower() or "@" in text:
-        out.update(("email", *m.span()) for m in _OBFUSCATED.finditer(text))
+        yield from (("email", *m.span()) for m in _OBFUSCATED.finditer(text))
     for m in _RUN.finditer(text):
-        spans = [(m.start() + x.start(), m.start() + x.end()) for x in re.finditer(r"[^ ]+", m[0])]
-        if len(m[0]) <= 40:
-            spans.append(m.span())
-        for lo, hi in spans:
-            while hi > lo and text[hi - 1] not in "0123456789":
-                hi -= 1
-            n = sum(c in "0123456789" for c in text[lo:hi]) if hi - lo <= 40 else 0
-            if 7 <= n <= 15:
-                out.add(("phone", lo, hi))
-            if 13 <= n <= 19:
-                out.add(("card", lo, hi))
-            if text.count(".", lo, hi) == 3 and n <= 12:
-                out.add(("ip", lo, hi))
-    out.update(("national_id", *m.span()) for m in _NATIONAL.finditer(text))
-    out.update(("iban", *m.span()) for m in _IBAN.finditer(text))
-    return sorted(out)
+        for low, high in _outside(*m.span(), taken):
+            tokens = [(x.start(), x.start() + len(s), sum(map(s.count, "0123456789"))) for x in _TOKEN.finditer(text, low, high) if (s := x[0].rstrip("+().-/"))]
+            for k, (lo, _, _) in enumerate(tokens):
+                n = 0
+                for j in range(k, len(tokens)):
+                    _, hi, digits = tokens[j]
+                    n += digits
+                    if hi - lo > LONGEST or n > 19:
+                        break
+                    if 7 <= n <= 15:
+                        yield "phone", lo, hi
+                    if 13 <= n:
+                        yield "card", lo, hi
+                    if n <= 12 and text.count(".", lo, hi) == 3:
+                        yield "ip", lo, hi
+    yield from (("national_id", *m.span()) for m in _NATIONAL.finditer(text))
+    yield from (("iban", *m.span()) for m in _IBAN.finditer(text))
+
+
+def candidates(text: str, taken: list[tuple[int, int]] | None = None) -> list[Span]:
+    """All proposed spans in order."""
+    return sorted(_proposed(text, taken or []))
 
 
 _CONTEXT = {
@@ -132,6 +170,8 @@ _CONTEXT = {
     "iban": re.compile(r"iban|account|bank|konto|compte|cuenta|transfer", re.I),
 }
 _OTHER = re.compile(r"order|invoice|ref|version|serial|part|item|sku|isbn|date|total|price|build|commit|amount|page|year|no\.|#|id\b", re.I)
+#: The run goes on before a candidate, with a country sign, or after it.
+_LED, _SIGNED, _FOLLOWED = re.compile(r"[0-9)][ ().\-/]{0,2}$"), re.compile(r"\+[0-9]{1,3}[ ().\-]{0,2}$"), re.compile(r"[ ().\-/]{0,2}[0-9]")
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -149,6 +189,7 @@ def features(text: str, span: Span) -> list[float]:
         float(len(set(groups)) == 1), float(bool(_CONTEXT[kind].search(before))), float(bool(_CONTEXT[kind].search(after))),
         float(bool(_OTHER.search(before[-16:]))), float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before[-1:] in "$€£#/=_-." if before else 0),
         float(after[:1] in "%€$/=_-" if after else 0), float(_iban(s)) if kind == "iban" else 0.0, float(groups in ([3, 3, 4], [1, 3, 3, 4], [3, 4])),
+        float(bool(_LED.search(before))), float(bool(_SIGNED.search(before))), float(bool(_FOLLOWED.match(after))),
     ]
 
 
@@ -224,7 +265,7 @@ def _written(rng: np.random.Generator) -> tuple[str, Span | None]:
             d += next(c for c in "0123456789" if luhn(d + c))
             s = pick(d, "-".join(d[k : k + 4] for k in range(0, len(d), 4)), " ".join(d[k : k + 4] for k in range(0, len(d), 4)))
         elif kind == "phone":
-            s = pick(f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"0{num(3)} {num(7)}", f"00{num(2)} {num(3)} {num(7)}")
+            s = pick(f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"0{num(3)} {num(7)}", f"00{num(2)} {num(3)} {num(7)}", f"+{rng.integers(1, 100)} ({num(3)}) {num(3)}-{num(4)}", f"+{rng.integers(1, 100)} {num(3)} {num(3)} {num(4)}")
         elif kind == "national_id":
             s = f"{num(3)}-{num(2)}-{num(4)}"
         else:
@@ -236,7 +277,10 @@ def _written(rng: np.random.Generator) -> tuple[str, Span | None]:
         s = pick(num(rng.integers(7, 20)), f"20{num(2)}-0{rng.integers(1, 10)}-1{num(1)} 1{num(1)}", f"{num(2)}.{num(2)}.20{num(2)}", f"{num(1)}.{num(2)}.{num(1)}.{num(4)}", f"{num(3)}.{num(3)}.{num(3)}", f"{num(4)}/{num(4)}", f"{num(1)} {num(3)} {num(3)}", f"{num(3)}-{num(2)}-{num(4)}", f"ZZ{num(2)} {num(4)} {num(4)} {num(4)}", f"{word()} at {word()}.{word()}", num(16))
         said = pick("order ", "invoice ", "ref ", "version ", "total ", "serial ", "", "", "", "#", "date ", "build ", "id ")
     lead = " ".join(word() for _ in range(rng.integers(0, 6))) + " "
-    tail = pick(" ", ". ", ", ") + " ".join(word() for _ in range(rng.integers(0, 6)))
+    # A phone number may stand beside another number, without a word that names it.
+    beside = pick("", "", "", f" {num(rng.integers(1, 9))}", " " + ".".join(str(rng.integers(0, 256)) for _ in range(4))) if kind == "phone" else ""
+    said = pick(said, "") if beside else said
+    tail = beside + pick(" ", ". ", ", ") + " ".join(word() for _ in range(rng.integers(0, 6)))
     lo = len(lead) + len(said)
     return f"{lead}{said}{s}{tail}", (kind, lo, lo + len(s)) if kind else None
 
@@ -256,21 +300,19 @@ class Detector:
         if not text or not _SIGNS.search(text):
             return [], []
         sure = base(text)
-        taken = sorted((a, b) for _, a, b in sure)
-        starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
-        free = lambda a, b: not (k := bisect_left(starts, b)) or ends[k - 1] <= a
-        open_ = [s for s in candidates(text) if free(s[1], s[2])]
+        taken = _covered(sure)
+        free = lambda a, b: not (k := bisect_left(taken, (b, b))) or taken[k - 1][1] <= a
+        able: list[tuple[float, Span]] = []  # a run may have many candidates, only these are held
+        for part in batched((s for s in _proposed(text, taken) if free(s[1], s[2])), BLOCK):
+            able += [(-p, s) for p, s in zip(self.probabilities(text, list(part)).tolist(), part) if p >= self.threshold[s[0]]]
         added: list[Span] = []
-        if open_:
-            p = self.probabilities(text, open_)
-            held: list[tuple[int, int]] = []  # selected, sorted, apart from each other
-            for k in np.argsort(-p, kind="stable"):
-                kind, a, b = open_[k]
-                at = bisect_left(held, (a, b))
-                apart = (at == 0 or held[at - 1][1] <= a) and (at == len(held) or b <= held[at][0])
-                if p[k] >= self.threshold[kind] and apart:
-                    added.append(open_[k])
-                    held.insert(at, (a, b))
+        held: list[tuple[int, int]] = []  # selected, sorted, apart from each other
+        for _, span in sorted(able):
+            a, b = span[1:]
+            at = bisect_left(held, (a, b))
+            if (at == 0 or held[at - 1][1] <= a) and (at == len(held) or b <= held[at][0]):
+                added.append(span)
+                held.insert(at, (a, b))
         return sure, sorted(sure + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 

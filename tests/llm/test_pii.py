@@ -48,6 +48,20 @@ def test_added_spans():
         assert DETECTOR.spans(text)[1] == [], text
 
 
+def test_number_beside_another():
+    for phone in ("+1 (826) 555-4081", "+1 (843) 555-7672"):
+        for ip in ("190.137.223.204", "170.106.47.218"):
+            t = f"Et un. {phone} {ip} du"
+            assert ("phone", 7, 7 + len(phone)) in pii.candidates(t)
+            sure, spans = DETECTOR.spans(t)
+            assert [k for k, _, _ in sure] == ["ip"] and ("phone", 7, 7 + len(phone)) in spans
+            assert pii.redact(t, spans) == "Et un. [PHONE] [IP] du"
+    # All windows of tokens of what a base span leaves, and none across it.
+    t = "12 345 6789 10.0.0.1 555 123 4567"
+    got = {t[a:b] for k, a, b in pii.candidates(t, [(12, 20)]) if k == "phone"}
+    assert got == {"12 345 6789", "345 6789", "555 123 4567", "123 4567"}
+
+
 def test_redact():
     t = "a x.y@z.com, +1 (555) 123-4567!"
     assert pii.redact(t, DETECTOR.spans(t)[1]) == "a [EMAIL], [PHONE]!"
