@@ -188,3 +188,15 @@ def test_streaming(spark, tmp_path):
     assert {r.path for r in index.candidates(R.plan("needle")).collect()} == {"b"}
     assert {r.path for r in index.manifest().collect()} == {"a", "b"}
     assert isinstance(SearchSpec(), SearchSpec)
+
+
+def test_trigram_df_of_all_documents(spark):
+    from collections import Counter
+
+    from seine.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    texts = [r.text.encode() for r in spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").collect()]
+    assert not all(map(bytes.isascii, texts))
+    want = Counter(x for t in texts for x in {int.from_bytes(t[i : i + 3], "big") for i in range(len(t) - 2)})
+    assert {r.tri: r.df for r in QUERIES["trigram_df_all"](spark, sf).collect()} == want
