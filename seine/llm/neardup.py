@@ -53,9 +53,10 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     short = acc.copy()
     for t in range(1, size):
         ok = np.zeros(len(acc), bool)
-        ok[: len(acc) - t] = w.row[t:] == w.row[: len(acc) - t]
+        m = max(0, len(acc) - t)
+        ok[:m] = w.row[t:] == w.row[:m]
         nxt = np.zeros_like(acc)
-        nxt[: len(acc) - t] = w.hash[t:]
+        nxt[:m] = w.hash[t:]
         acc = np.where(ok, mix(acc * _C + nxt), acc)
         short = acc
     last = w.first[1:][w.row] - size  # a row's last whole shingle begins here

@@ -1,10 +1,12 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from seine.llm import neardup
 from seine.llm.queries import QUERIES
+from seine.llm.text import NONSPACE, words
 
 LOW = {c: c + 32 for c in range(65, 91)}
 
@@ -76,6 +78,14 @@ def test_odd_rows(spark):
     assert neardup.groups(df.limit(0)).count() == 0 and neardup.deduplicated(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", range(6))
+def test_few_words_alone(n):
+    w = words(pa.array([" ".join("abcde"[:n])]), NONSPACE)
+    for size in range(1, 7):
+        h, first = neardup.shingles(w, size)
+        assert len(h) == first[-1] == len(shingle_set(" ".join("abcde"[:n]), size))
+
+
 def test_components(spark):
     random.seed(4)
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(random.randrange(200, 260), random.randrange(200, 260)) for _ in range(50)]
