@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 import pyarrow.fs as pafs
@@ -37,17 +39,63 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Folders that this driver made in the shared one and has not deleted.
+_made: dict[str, None] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder of the shared one."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder of the shared one; it is deleted when the driver ends, if not before."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made[path] = None
+    return path
+
+
+def delete(path: str) -> None:
+    """Delete a folder of ``scratch``, if it is there."""
+    _made.pop(path, None)
+    fs, local = filesystem(path)
+    with contextlib.suppress(FileNotFoundError):
+        fs.delete_dir(local)
+
+
+def made() -> list[str]:
+    """Folders of this driver that are still there, oldest first."""
+    return list(_made)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path in made():
+        with contextlib.suppress(OSError):
+            delete(path)
+
+
+class Tables:
+    """Tables of one computation, cut from their lineage: written to the shared folder and read again.
+
+    A table stays as long as something lazy may read it: ``drop`` deletes those
+    that a computation has done with, the rest goes when the driver ends.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self._paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = (path, out)  # the frame is held, so its id stays its own
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            path, _ = self._paths.pop(id(t))
+            delete(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` cut from its lineage: written to the shared folder and read again."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """One table of ``Tables`` that stays."""
+    return Tables(df.sparkSession).write(df, name)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

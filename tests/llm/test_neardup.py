@@ -4,7 +4,7 @@ import re
 import pyarrow as pa
 import pytest
 
-from seine.llm import neardup
+from seine.llm import neardup, session
 from seine.llm.queries import QUERIES
 from seine.llm.text import NONSPACE, words
 
@@ -71,10 +71,49 @@ def test_against_brute_force(spark, k):
     assert sorted(r.doc_id for r in kept.collect()) == [r[0] for r in brute(rows, k) if r[3]]
 
 
+def test_hot_keys_and_large_buckets(spark):
+    """Salted keys and the meeting by rarity lose nothing either."""
+    random.seed(9)
+    footer = [f"f{i}" for i in range(60)]
+    docs = [" ".join([f"b{k}-{i}" for i in range(random.choice([6, 9, 30]))] + footer) for k in range(60)]
+    chain = [f"c{i}" for i in range(400)]
+    docs += [" ".join(chain[i * 4 : i * 4 + 60] + footer[:20]) for i in range(40)]
+    docs += [" ".join(edited(docs[k % 9].split(), k % 4)) for k in range(60)]
+    random.shuffle(docs)
+    rows = list(enumerate(docs, 3))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 2)
+    for options in ({"small": 3, "sample": 1, "hot": 3}, {"small": 2}):
+        assert sorted(map(tuple, neardup.groups(df, 2, **options).collect())) == want, options
+
+
+def test_footers_are_linear(spark, monkeypatch):
+    """Texts that share two thirds and are not linked: pairs grow with the texts, not with their square."""
+    footer = " ".join(f"f{i}" for i in range(200))
+    counts = []
+    real = neardup._confirmed
+    monkeypatch.setattr(neardup, "_confirmed", lambda pairs, *a: counts[-1].append(pairs.count()) or real(pairs, *a))
+    for n in (300, 1200):
+        counts.append([])
+        df = spark.createDataFrame([(k, " ".join(f"b{k}-{i}" for i in range(100)) + " " + footer) for k in range(n)], "doc_id long, text string")
+        assert neardup.groups(df, 2).where("kept").count() == n
+    sums = [sum(c) for c in counts]
+    assert sums[1] < 6 * sums[0]
+
+
+def test_nothing_stays_but_what_is_read(spark):
+    before = set(session.made())
+    neardup.groups(spark.createDataFrame([(k, f"a b c d {k % 3}") for k in range(9)], "doc_id long, text string"), 2).count()
+    assert {p.rsplit("/", 1)[1].split("-")[0] for p in set(session.made()) - before} <= {"signatures", "edges"}
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "p q r"), (2, "p q r"), (3, "a b c"), (None, "a b c"), (4, None)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.groups(df, 2).collect()), key=str)
     assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, None, True), (4, 4, True)], key=str)
+    # Ids of several texts join the classes of all of them, however long the chain.
+    df2 = spark.createDataFrame([(3, "a a1 a2"), (5, "a a1 a2"), (5, "b b1 b2"), (7, "b b1 b2"), (7, "c c1 c2"), (9, "c c1 c2")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in neardup.groups(df2, 2).collect()} == {(3, 3), (5, 3), (7, 3), (9, 3)}
     assert neardup.groups(df.limit(0)).count() == 0 and neardup.deduplicated(df.limit(0)).count() == 0
 
 
