@@ -5,24 +5,27 @@ padded with spaces). A window's bytes are embedded, convolved with filters of
 several widths, max-pooled over the window, and classified by a softmax; a
 text's score of a language is the mean over its windows, weighted by bytes.
 
-Training takes at most ``DOCUMENTS`` rows with a language (of least hash of
-their ids, evenly over the languages) and up to ``PER_DOCUMENT`` windows of
-each. lang, source and doc_id are no inputs of a prediction.
-
-Defined cases: a null text, or one without a letter, is ``und`` with score 0,
-as is every text when no row has a language; repeated rows agree; other
-columns are left alone.
+Training takes at most ``DOCUMENTS`` rows with a language: of each language an
+equal quota (all its rows, if it has fewer), those of least hash of their ids,
+and up to ``PER_DOCUMENT`` windows of each. So few rows hold at most as many
+languages, of which the most frequent are learned; that is the one bound on
+them. lang, source and doc_id are no inputs of a prediction.
+
+Defined cases: a null text, or one without a letter (``str.isalpha``; digits of
+any kind are none), is ``und`` with score 0, as is every text when no row has a
+language; repeated rows agree (a training row that is repeated may be drawn as
+often); very long texts are taken window by window; an empty table gives no
+rows; other columns, ``lang_pred`` and ``score`` too, are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seine.llm.session import tune
@@ -34,7 +37,6 @@ DOCUMENTS, PER_DOCUMENT = 2400, 2
 EPOCHS, BATCH = 8, 64
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _STEP = 256
 
 
@@ -140,16 +142,19 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(documents: DataFrame, most: int = DOCUMENTS, folds: int = FOLDS, held_out: int = HELD_OUT) -> Network | None:
-    """A network from rows outside the held-out fold; None where no row has a language."""
+    """A network from at most ``most`` rows outside the held-out fold; None where no row has a language."""
     tune(documents.sparkSession)
     d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     d = d.where("lang is not null and text is not null").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) != held_out)
-    counts = dict(map(tuple, d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()))
+    counts = dict(map(tuple, d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()))
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.3 * most / len(counts) / n))])
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003
-    rows = d.where(pick).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("lang", "text").mapInArrow(_samples, "lang string, window binary").collect()
+    quota = most // len(counts)
+    # A thinned draw first (at most a few quotas a language), of which each language keeps its rows of least hash.
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (2 * quota + 32) / n))])
+    drawn = d.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
+    least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    rows = drawn.withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= quota).select("lang", "text").mapInArrow(_samples, "lang string, window binary").collect()
     languages = sorted({r.lang for r in rows})
     if not languages:
         return None
@@ -161,7 +166,7 @@ def predict(column: pa.Array, net: Network | None) -> tuple[list[str], np.ndarra
     """Language and score of every whole text."""
     texts = column.to_pylist()
     lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    some = [k for k, t in enumerate(texts) if t and _LETTER.search(t)] if net else []
+    some = [k for k, t in enumerate(texts) if t and any(map(str.isalpha, t))] if net else []
     if some:
         raw, at = utf8(column.take(pa.array(some)))
         w, owner, share = windows(raw, at)
