@@ -6,14 +6,19 @@ code, give one packed 32-bit integer a frame. Two recordings are aligned by the
 histogram of offsets at which their integers are equal, and judged by the share
 of bits that differ over the overlap.
 
-``search`` takes a stated set of query recordings against all: equal integers
-are joined by their values (shuffled, and pre-aggregated to votes per query,
-recording and offset), so no pair without a common value is formed.
+``search`` takes a stated set of query recordings against all. Recordings of
+equal integers are one class, which its smallest id stands for, so copies are
+not expanded into pairs. Runs of equal integers (silence, a held tone) are one
+row each, and runs of equal values are joined (shuffled, and pre-aggregated to
+votes per query, recording and offset), so no pair without a common value is
+formed and two runs meet in as many rows as they have offsets, not frames
+squared.
 
 Defined cases: null audio, or less than a window of it, has no integers and
 matches nothing; silence gives integers like any sound; repeated rows agree
-(rows of equal ids are one recording, of the row with the most frames); no
-rows give no rows. Other columns aren't read.
+(rows of equal ids are one recording, of the row with the most frames); a row
+without an id aligns with nothing and has no class; no rows give no rows. Other
+columns aren't read.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seine.llm.session import tune, written
+from seine.llm.session import Tables, tune
 
 RATE, FRAME, HOP = 4096, 512, 128
 LOW, HIGH = 100.0, 1800.0
@@ -39,7 +44,7 @@ FILTERS = (
 )
 CUTS = (-0.08, 0.0, 0.08)
 _GRAY = np.array([0, 1, 3, 2], np.uint32)
-_WINDOW = np.hanning(FRAME)
+_WINDOW = np.hanning(FRAME).astype(np.float32)
 _freq = np.fft.rfftfreq(FRAME, 1 / RATE)
 _used = np.flatnonzero((_freq >= LOW) & (_freq <= HIGH))
 _MAP = np.zeros((len(_used), 12))
@@ -50,8 +55,9 @@ def frames(pcm: np.ndarray) -> np.ndarray:
     """Normalised pitch-class energies, a row for every hop."""
     if len(pcm) < FRAME:
         return np.zeros((0, 12))
-    view = np.lib.stride_tricks.sliding_window_view(pcm.astype(np.float64), FRAME)[::HOP]
-    chroma = (np.abs(np.fft.rfft(view * _WINDOW, axis=1)[:, _used]) ** 2) @ _MAP
+    view = np.lib.stride_tricks.sliding_window_view(pcm.astype(np.float32), FRAME)[::HOP]
+    tone = np.fft.rfft(view * _WINDOW, axis=1)[:, _used]
+    chroma = (tone.real**2 + tone.imag**2).astype(np.float64) @ _MAP
     norm = np.sqrt((chroma**2).sum(1, keepdims=True))
     return chroma / np.where(norm > 1e-9, norm, 1)
 
@@ -106,19 +112,29 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
     return int(offset[k]), int(votes[k]), bit_error(a, b, int(offset[k]))
 
 
-def sonify(vector: list[float] | None) -> bytes:
+def sonify(vector: np.ndarray | list[float]) -> bytes:
     """A melody of the vector's values, a sixteenth of a second each (16-bit PCM).
 
     The tables hold no audio; this stands for a media column.
     """
-    if not vector:
-        return b""
-    v = np.nan_to_num(np.array(vector, np.float64))
+    v = np.nan_to_num(np.asarray(vector, np.float64))
     pitch = 48 + np.floor(24 * (0.5 + np.arctan(6 * v) / np.pi)).clip(0, 23)
     step = np.repeat(2 * np.pi * 440 * 2 ** ((pitch - 69) / 12) / RATE, RATE // 16)
     return (12_000 * np.sin(np.cumsum(step))).astype("<i2").tobytes()
 
 
+def _melodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        audio = [sonify(v.values.to_numpy(zero_copy_only=False)) if v.is_valid else None for v in batch.column("vector")]
+        yield pa.record_batch([batch.column("id"), pa.array(audio, pa.binary())], names=["id", "audio"])
+
+
+def melodies(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
+    """(id, audio): a stand-in recording for every vector; a null one has no audio."""
+    tune(vectors.sparkSession)
+    return vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).mapInArrow(_melodies, "id long, audio binary")
+
+
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [fingerprint(np.frombuffer((x or b"")[: len(x or b"") // 2 * 2], "<i2")) for x in batch.column("audio").to_pylist()]
@@ -131,6 +147,9 @@ def fingerprints(media: DataFrame, id_column: str, audio: Column) -> DataFrame:
     return media.select(F.col(id_column).cast("long").alias("id"), audio.alias("audio")).mapInArrow(_prints, "id long, prints array<int>, prints_crc32 long")
 
 
+PAIRS = "id long, query_id long, offset int, votes long, bit_error double"
+
+
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = (batch.column(c) for c in ("a", "b"))
@@ -138,20 +157,45 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("id"), batch.column("query_id"), batch.column("offset"), batch.column("votes"), pa.array(error, pa.float64())], names=["id", "query_id", "offset", "votes", "bit_error"])
 
 
+def _runs(values: Column) -> Column:
+    """Runs of equal values: (value, at, size)."""
+    last = F.size(values) - 1
+    starts = F.filter(F.sequence(F.lit(0), last), lambda k: (k == 0) | (F.get(values, k) != F.get(values, k - 1)))
+    return F.when(last >= 0, F.transform(starts, lambda at, i: F.struct(F.get(values, at).alias("value"), at.alias("at"), (F.coalesce(F.get(starts, i + 1), last + 1) - at).alias("size"))))
+
+
 def search(prints: DataFrame, is_query: Column, min_votes: int = MIN_VOTES) -> DataFrame:
-    """Per recording and query (another recording) that it aligns with: their offset, votes and bit error.
+    """Per recording: id, class_id, n_prints, prints_crc32, and, for each query that its class aligns with, query_id, offset, votes and bit_error.
 
-    A recording that aligns with none has one row of nulls. The floor of votes
-    is ``min_votes``, or all integers of the shorter of the two if it has fewer.
+    ``class_id`` is the smallest id of the recordings with the same integers;
+    the pairs of a class are given with that id, once for each class of queries,
+    under the smallest id of its queries (the largest, where the smallest is the
+    recording itself). Rows without a pair have nulls there. The floor of votes is ``min_votes``, or all
+    integers of the shorter of the two if it has fewer.
     """
-    p = written(prints, "prints")
+    tables = Tables(prints.sparkSession)
+    p = tables.write(prints, "prints")
     one = p.where("id is not null").groupBy("id").agg(F.max_by("prints", F.struct(F.size("prints"), "prints_crc32")).alias("prints"))
+    one = one.select("id", F.when(F.size("prints") > 0, F.sha2(F.concat_ws(",", F.transform("prints", lambda x: x.cast("string"))).cast("binary"), 256)).alias("digest"), "prints")
+    asked_id = F.when(is_query, F.col("id"))
+    kinds = one.where("digest is not null").groupBy("digest").agg(F.min("id").alias("class_id"), F.min(asked_id).alias("query_id"), F.max(asked_id).alias("other_query"), F.first("prints").alias("prints"))
+    kinds = tables.write(kinds, "kinds")
     floor = F.least(F.size("prints"), F.lit(min_votes))
-    posts = one.select("id", floor.alias("floor"), F.posexplode("prints").alias("at", "value"))
-    asked = one.where(is_query).select(F.col("id").alias("query_id"), floor.alias("query_floor"), F.posexplode("prints").alias("query_at", "value"))
-    votes = posts.join(asked, "value").where("id <> query_id").groupBy("id", "query_id", (F.col("at") - F.col("query_at")).alias("offset"))
-    votes = votes.agg(F.count("*").alias("votes"), F.max(F.least("floor", "query_floor")).alias("floor")).where("votes >= floor")
-    best = votes.groupBy("id", "query_id").agg(F.max(F.struct("votes", "offset")).alias("x")).select("id", "query_id", "x.offset", "x.votes")
-    pairs = best.join(one.select("id", F.col("prints").alias("a")), "id").join(one.select(F.col("id").alias("query_id"), F.col("prints").alias("b")), "query_id")
-    found = pairs.select("id", "query_id", "offset", "votes", "a", "b").mapInArrow(_judged, "id long, query_id long, offset int, votes long, bit_error double")
-    return p.select("id", F.size("prints").cast("long").alias("n_prints"), "prints_crc32").join(found, "id", "left")
+    posts = kinds.select("class_id", floor.alias("floor"), F.explode(_runs(F.col("prints"))).alias("run")).select("class_id", "floor", "run.*")
+    asked = kinds.where("query_id is not null").select("query_id", F.col("class_id").alias("query_class"), floor.alias("query_floor"), F.explode(_runs(F.col("prints"))).alias("run"))
+    asked = asked.select("query_id", "query_class", "query_floor", "run.value", F.col("run.at").alias("query_at"), F.col("run.size").alias("query_size"))
+    step = F.explode(F.sequence(1 - F.col("query_size"), F.col("size") - 1)).alias("step")
+    met = posts.join(asked, "value").where("class_id <> query_class").select("class_id", "query_id", F.least("floor", "query_floor").alias("floor"), (F.col("at") - F.col("query_at")).alias("first"), "size", "query_size", step)
+    votes = met.groupBy("class_id", "query_id", (F.col("first") + F.col("step")).alias("offset"))
+    # Frames of the two runs that meet at an offset.
+    both = F.least("size", "query_size", F.col("step") + F.col("query_size"), F.col("size") - F.col("step"))
+    votes = votes.agg(F.sum(both).cast("long").alias("votes"), F.max("floor").alias("floor")).where("votes >= floor")
+    best = votes.groupBy("class_id", "query_id").agg(F.max(F.struct("votes", "offset")).alias("x")).select(F.col("class_id").alias("id"), "query_id", "x.offset", "x.votes")
+    pairs = best.join(kinds.select(F.col("class_id").alias("id"), F.col("prints").alias("a")), "id").join(kinds.select("query_id", F.col("prints").alias("b")), "query_id")
+    found = pairs.select("id", "query_id", "offset", "votes", "a", "b").mapInArrow(_judged, PAIRS)
+    # A class that holds a query aligns with it whole; its smallest id may be that query itself.
+    own = F.when(F.col("query_id") == F.col("class_id"), F.col("other_query")).otherwise(F.col("query_id"))
+    own = kinds.select(F.col("class_id").alias("id"), own.alias("query_id"), F.lit(0).alias("offset"), F.size("prints").cast("long").alias("votes"), F.lit(0.0).alias("bit_error")).where("query_id <> id")
+    member = one.join(kinds.select("digest", "class_id"), "digest").select("id", "class_id")
+    rows = p.select("id", F.size("prints").cast("long").alias("n_prints"), "prints_crc32")
+    return rows.join(member, "id", "left").join(found.union(own), "id", "left")

@@ -71,9 +71,15 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    audio = F.udf(chroma.sonify, "binary", useArrow=True)("embedding")
-    prints = chroma.fingerprints(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", audio)
-    return chroma.search(prints, F.col("id") % 50 == 0).withColumnRenamed("id", "vec_id")
+    audio = chroma.melodies(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    return chroma.search(chroma.fingerprints(audio, "id", F.col("audio")), F.col("id") % 50 == 0).withColumnRenamed("id", "vec_id")
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports the operators of this package
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 @query
