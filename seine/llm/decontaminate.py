@@ -7,17 +7,22 @@ a suffix array, its Burrows-Wheeler transform in a wavelet matrix, and sampled
 suffix positions. All phrases are searched backwards at once, word by word, and
 their occurrences located and merged into removal spans.
 
+Words are looked up by 64-bit hashes; every word that a phrase hits is spelled
+out, and where two words share a hash the shard is searched again with symbols
+given by spelling, so hashes decide nothing.
+
 Defined cases: a null or empty text has no words and no hits; an item without
 words has no phrase; equal phrases of several items count for each item;
-repeated rows are each judged alone; an empty benchmark hits nothing. Other
-columns of the documents are kept out of the way by name (only ``doc_id`` and
-``text`` are read).
+phrases of an item without an id hit (and are removed) like any other, but the
+item is in no list of items; repeated rows are each judged alone; an empty
+benchmark hits nothing, an empty table gives no rows. Other columns of the
+documents are kept out of the way by name (only ``doc_id`` and ``text`` are
+read).
 """
 
 from __future__ import annotations
 
 import pickle
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,11 +34,11 @@ from pyspark.sql import functions as F
 from seine.llm.session import filesystem, scratch, tune
 from seine.llm.text import ALNUM, Words, char_index, pieces, utf8, words
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
-#: Bytes of phrases held (and sent to the executors) at a time; a larger
-#: benchmark is searched in as many blocks as it takes.
-BLOCK_BYTES = 32 << 20
+#: Words of the items whose phrases are held (and sent to the executors) at a
+#: time, some 80 bytes each as built; a larger benchmark is searched in as many
+#: blocks as it takes. An item is never parted: a longer one is a block.
+BLOCK_WORDS = 400_000
+_ITEM_WORD = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]+"
 SHARD_BYTES = 8 << 20
 SAMPLE = 8
 
@@ -167,23 +172,46 @@ class Phrases:
     item_at: np.ndarray
     items: np.ndarray
 
+    @property
+    def ambiguous(self) -> bool:
+        """Whether two of the words share a hash."""
+        return bool((self.vocabulary[1:] == self.vocabulary[:-1]).any())
+
     @classmethod
-    def of(cls, items: list[tuple[int, str | None]], window: int = 10) -> Phrases:
-        found: dict[tuple[str, ...], dict[int, None]] = {}
-        for item, text in items:
-            w = WORD.findall((text or "").translate(_LOWER))
-            if w:
-                for i in range(max(1, len(w) - window + 1)):
-                    found.setdefault(tuple(w[i : i + window]), {})[item] = None
-        vocabulary = sorted({w for p in found for w in p})
-        hashes = words(pa.array(vocabulary, pa.string()), np.ones(256, bool)).hash
-        order = np.argsort(hashes)
-        symbol = {vocabulary[k]: i + 1 for i, k in enumerate(order)}
-        patterns = np.zeros((len(found), window), np.int64)
-        for i, p in enumerate(found):
-            patterns[i, : len(p)] = [symbol[w] for w in p]
-        counts = np.array([0, *(len(v) for v in found.values())])
-        return cls(hashes[order], [vocabulary[k].encode() for k in order], patterns, np.array([len(p) for p in found], np.int64), np.cumsum(counts), np.array([i for v in found.values() for i in v], np.int64))
+    def of(cls, items: list[tuple[int | None, str | None]], window: int = 10) -> Phrases:
+        w = words(pa.array([t for _, t in items], pa.string()), ALNUM)
+        seen: dict[bytes, int] = {}
+        number = np.array([seen.setdefault(w.data[a:b].tobytes(), len(seen)) for a, b in zip(w.start.tolist(), w.end.tolist())], np.int64)
+        hashes = np.zeros(len(seen), np.uint64)
+        hashes[number] = w.hash
+        order = np.argsort(hashes, kind="stable")
+        place = np.empty(len(seen), np.int32)
+        place[order] = np.arange(1, len(seen) + 1)
+        spelled = list(seen)
+        symbol = np.concatenate([place[number], np.zeros(window, np.int32)]).astype(np.int32)
+        # A phrase begins at every word with a whole window after it in its item, or at the first of a short item.
+        left = w.first[1:][w.row] - np.arange(len(w.row))
+        start = np.flatnonzero((left >= window) | (np.arange(len(w.row)) == w.first[:-1][w.row]))
+        length = np.minimum(left[start], window)
+        rows = symbol[start[:, None] + np.arange(window)] * (np.arange(window) < length[:, None])
+        patterns, at, which = np.unique(rows.astype(np.int32), axis=0, return_index=True, return_inverse=True)
+        named = np.array([i is not None for i, _ in items], bool)
+        ids = np.array([i or 0 for i, _ in items], np.int64)
+        row = w.row[start]
+        pair = np.unique(np.stack([which.reshape(-1), ids[row]], 1)[named[row]], axis=0) if len(start) else np.zeros((0, 2), np.int64)
+        item_at = np.searchsorted(pair[:, 0], np.arange(len(patterns) + 1))
+        return cls(hashes[order], [spelled[k] for k in order], patterns, length[at].astype(np.int64), item_at, pair[:, 1])
+
+    def symbols(self, w: Words, by_spelling: bool) -> np.ndarray:
+        """The symbol of every word of a shard, 0 for those that no phrase has."""
+        where = np.searchsorted(self.vocabulary, w.hash)
+        where[where == len(self.vocabulary)] = 0
+        symbol = np.where(self.vocabulary[where] == w.hash, where + 1, 0)
+        if by_spelling:
+            number = {s: k + 1 for k, s in enumerate(self.spelled)}
+            for k in np.flatnonzero(symbol):
+                symbol[k] = number.get(w.data[w.start[k] : w.end[k]].tobytes(), 0)
+        return symbol
 
 
 def _runs(symbol: np.ndarray, row: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,19 +258,30 @@ def search_shard(column: pa.Array, held: list[Phrases | str]) -> tuple[Words, np
 
 
 def _search_block(w: Words, phrases: Phrases, hit: np.ndarray) -> np.ndarray:
-    none = np.zeros((0, 2), np.int64)
     if not len(phrases.lengths):
-        return none
-    where = np.searchsorted(phrases.vocabulary, w.hash)
-    where[where == len(phrases.vocabulary)] = 0
-    symbol = np.where(phrases.vocabulary[where] == w.hash, where + 1, 0)
+        return np.zeros((0, 2), np.int64)
+    found = None if phrases.ambiguous else _occurrences(w, phrases, by_spelling=False)
+    if found is None:
+        found = _occurrences(w, phrases, by_spelling=True)
+    new, pair = found
+    hit |= new
+    held = phrases.item_at[pair[:, 1] + 1] - phrases.item_at[pair[:, 1]]
+    offset = np.arange(int(held.sum())) - np.repeat(np.cumsum(held) - held, held)
+    item = phrases.items[offset + np.repeat(phrases.item_at[pair[:, 1]], held)]
+    return np.stack([np.repeat(pair[:, 0], held), item], 1)
+
+
+def _occurrences(w: Words, phrases: Phrases, by_spelling: bool) -> tuple[np.ndarray, np.ndarray] | None:
+    """Hit words and distinct (row, phrase) pairs; None if a hit word has another's hash."""
+    hit, none = np.zeros(len(w.start), bool), np.zeros((0, 2), np.int64)
+    symbol = phrases.symbols(w, by_spelling)
     seq, word = _runs(symbol, w.row, int(phrases.lengths.min()))
     if not len(seq):
-        return none
+        return hit, none
     index = FMIndex(seq, len(phrases.vocabulary))
     found, lo, hi = index.search(phrases.patterns, phrases.lengths)
     if not len(found):
-        return none
+        return hit, none
     many = hi - lo
     which = np.repeat(found, many)
     first = np.cumsum(many) - many
@@ -251,17 +290,10 @@ def _search_block(w: Words, phrases: Phrases, hit: np.ndarray) -> np.ndarray:
     edge = np.zeros(len(w.start) + 1, np.int64)
     np.add.at(edge, start, 1)
     np.add.at(edge, start + phrases.lengths[which], -1)
-    new = np.cumsum(edge[:-1]) > 0
-    # Equal hashes are not yet equal words: spell the hit words out.
-    for k in np.flatnonzero(new):
-        if w.data[w.start[k] : w.end[k]].tobytes() != phrases.spelled[symbol[k] - 1]:
-            raise RuntimeError("two words share a 64-bit hash; change the seed in text.py")
-    hit |= new
-    pair = np.unique(np.stack([w.row[start], which], 1), axis=0)
-    held = phrases.item_at[pair[:, 1] + 1] - phrases.item_at[pair[:, 1]]
-    offset = np.arange(int(held.sum())) - np.repeat(np.cumsum(held) - held, held)
-    item = phrases.items[offset + np.repeat(phrases.item_at[pair[:, 1]], held)]
-    return np.stack([np.repeat(pair[:, 0], held), item], 1)
+    hit = np.cumsum(edge[:-1]) > 0
+    if not by_spelling and any(w.data[w.start[k] : w.end[k]].tobytes() != phrases.spelled[symbol[k] - 1] for k in np.flatnonzero(hit)):
+        return None
+    return hit, np.unique(np.stack([w.row[start], which], 1), axis=0)
 
 
 def _spans(w, hit: np.ndarray, row: int) -> list[tuple[int, int]]:
@@ -335,16 +367,16 @@ def _clean(held: list[Phrases | str], shard_bytes: int):
     return run
 
 
-def phrase_blocks(benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> list[Phrases | str]:
-    """Phrases of the benchmark in blocks of bounded bytes.
+def phrase_blocks(benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> list[Phrases | str]:
+    """Phrases of the benchmark in blocks of bounded size.
 
-    The size of the items is measured first. One block goes to the tasks with
+    The words of the items are counted first. One block goes to the tasks with
     the plan; more are collected one at a time and kept in the shared folder,
     from which a task reads one at a time.
     """
-    b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
-    total = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // block_bytes) or 1
+    b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    total = b.agg(F.sum(F.regexp_count("text", F.lit(_ITEM_WORD)))).first()[0] or 0
+    n = -(-total // block_words) or 1
     if n == 1:
         return [Phrases.of([(r.item_id, r.text) for r in b.collect()], window)]
     folder, held = scratch(benchmark.sparkSession, "phrases"), []
@@ -358,17 +390,17 @@ def phrase_blocks(benchmark: DataFrame, window: int = 10, block_bytes: int = BLO
     return held
 
 
-def find(documents: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find(documents: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = SHARD_BYTES, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: words, hit words, item ids that occur, and merged removal spans (code points)."""
     tune(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_report(phrase_blocks(benchmark, window, block_bytes), shard_bytes), REPORT)
+    return docs.mapInArrow(_report(phrase_blocks(benchmark, window, block_words), shard_bytes), REPORT)
 
 
-def remove(documents: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove(documents: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = SHARD_BYTES, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents with every occurrence of a phrase cut from ``text``; all columns stay."""
     tune(documents.sparkSession)
-    return documents.mapInArrow(_clean(phrase_blocks(benchmark, window, block_bytes), shard_bytes), documents.schema)
+    return documents.mapInArrow(_clean(phrase_blocks(benchmark, window, block_words), shard_bytes), documents.schema)
 
 
 def digest(report: DataFrame) -> DataFrame:
