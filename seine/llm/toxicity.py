@@ -11,12 +11,19 @@ bootstrap members whose probabilities are averaged. Features are words and
 their beginnings and ends (inflected and compound words share these), hashed:
 the buckets whose document frequencies differ most between the two samples.
 
-The samples are bounded (``POSITIVES``, ``UNLABELLED``): rows of least hash of
-their ids. Everything else covers whole texts of all rows.
+The samples are bounded (``POSITIVES``, ``UNLABELLED``): distinct rows (id and
+text) of least hash. Their word counts are added up on the executors; to the
+driver come the ``FEATURES`` chosen buckets and one bit of each for every
+sampled row, whatever the length of its text. Everything else covers whole
+texts of all rows.
 
 Defined cases: a text without a word (null and empty ones too) gets the class
-prior; without any positive (or any text) every score is 0; repeated rows are
-scored alike. Labels, lang, source and doc_id are no inputs of a score.
+prior; without any positive (or any text) every score is 0; null texts are not
+learned from, empty ones are rows without words; repeated rows are scored alike
+and learned from once; labels of unknown documents and labels that are null
+count for nothing but the class prior, where they are not null; an empty table
+gives no rows. ``score`` replaces a column ``toxicity``, and keeps all others,
+as ``clean`` keeps all. Labels, lang, source and doc_id are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seine.llm.session import ids_and_texts, tune
+from seine.llm.session import Tables, ids_and_texts, tune
 from seine.llm.text import ALNUM, Words, pieces, words
 
 POSITIVES, UNLABELLED = 2000, 5000
@@ -100,29 +107,12 @@ def nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 300, rate: flo
     return w
 
 
-def _presence(rows: list[np.ndarray], buckets: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(rows), len(buckets)), np.float32)
-    for k, r in enumerate(rows):
-        at = np.searchsorted(buckets, r)
-        at[at == len(buckets)] = 0
-        out[k, at[buckets[at] == r]] = 1
-    return out
-
-
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int = FEATURES, members: int = MEMBERS) -> Model:
-    """A model from the texts' distinct word buckets."""
-    if not positive or not unlabelled:
+def fit(p: np.ndarray, u: np.ndarray, buckets: np.ndarray, prior: float, members: int = MEMBERS) -> Model:
+    """A model from the presence (0 or 1) of sorted buckets in positive and in unlabelled texts."""
+    if not len(p) or not len(u):
         return Model(np.zeros(0, np.int64), np.zeros((0, 1)), 0.0)
     prior = min(max(prior, 1e-3), 0.9)
-    dp, du = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for counts, rows in ((dp, positive), (du, unlabelled)):
-        for r in rows:
-            counts[r] += 1  # buckets of a text are distinct
-    fp, fu = (dp + 0.5) / (len(positive) + 1), (du + 0.5) / (len(unlabelled) + 1)
-    pooled = (dp + du + 1) / (len(positive) + len(unlabelled) + 2)
-    z = np.abs(fp - fu) / np.sqrt(pooled * (1 - pooled) * (1 / len(positive) + 1 / len(unlabelled)))
-    buckets = np.sort(np.argsort(-z, kind="stable")[:most])
-    p, u = _presence(positive, buckets), _presence(unlabelled, buckets)
+    p, u = p.astype(np.float32), u.astype(np.float32)
     rng = np.random.default_rng(11)
     weight = [nnpu(p[rng.integers(0, len(p), len(p))], u[rng.integers(0, len(u), len(u))], prior) for _ in range(members)]
     return Model(buckets, np.array(weight, np.float64), prior)
@@ -137,22 +127,63 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.searchsorted(pair, np.arange(part.num_rows + 1) << BITS)
             b = (pair & (1 << BITS) - 1).astype(np.int32)
             rows = [b[x:y].tobytes() for x, y in zip(at[:-1], at[1:])]
-            yield pa.record_batch([part.column("positive"), pa.array(rows, pa.binary())], names=["positive", "buckets"])
+            yield pa.record_batch([part.column("positive"), part.column("doc_id"), part.column("text_hash"), pa.array(rows, pa.binary())], names=["positive", "doc_id", "text_hash", "buckets"])
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, p, u): a task's positive and unlabelled texts that have a bucket (those of a text are distinct)."""
+    counts = np.zeros((2, 1 << BITS), np.int64)
+    for batch in batches:
+        for positive, b in zip(batch.column("positive").to_pylist(), batch.column("buckets")):
+            counts[0 if positive else 1, np.frombuffer(b.as_buffer(), np.int32)] += 1
+    some = np.flatnonzero(counts.any(0))
+    yield pa.record_batch([pa.array(some, pa.int64()), pa.array(counts[0, some]), pa.array(counts[1, some])], names=["bucket", "p", "u"])
+
+
+def _presence(buckets: np.ndarray):
+    """(positive, bits): which of the sorted buckets each text has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.packbits(np.isin(buckets, np.frombuffer(b.as_buffer(), np.int32))).tobytes() for b in batch.column("buckets")]
+            yield pa.record_batch([batch.column("positive"), pa.array(bits, pa.binary())], names=["positive", "bits"])
+
+    return run
 
 
-def train(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, folds: int = FOLDS, held_out: int = HELD_OUT) -> Model:
+def _chosen(sample: DataFrame, n_p: int, n_u: int, most: int) -> np.ndarray:
+    """The buckets whose document frequencies in the two samples differ most."""
+    counts = sample.mapInArrow(_tally, "bucket long, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    pooled = (F.col("p") + F.col("u") + 1) / (n_p + n_u + 2)
+    z = F.abs((F.col("p") + 0.5) / (n_p + 1) - (F.col("u") + 0.5) / (n_u + 1)) / F.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u))
+    return np.sort(np.array([r.bucket for r in counts.orderBy(z.desc(), "bucket").limit(most).collect()], np.int64))
+
+
+def train(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, folds: int = FOLDS, held_out: int = HELD_OUT, most: int = FEATURES) -> Model:
     """Fit on rows outside the held-out fold; both samples are bounded by their parameters."""
-    tune(documents.sparkSession)
+    tables = Tables(tune(documents.sparkSession))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(fold("doc_id", folds) != held_out)
-    docs = ids_and_texts(documents).where(fold("doc_id", folds) != held_out).where("text is not null")
+    docs = ids_and_texts(documents).where(fold("doc_id", folds) != held_out).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
     total, toxic = known.agg(F.count("*"), F.sum("toxic")).first()
-    least = [F.xxhash64("doc_id"), F.col("doc_id")]
-    plus = known.where("toxic = 1").select("doc_id").distinct().orderBy(*least).limit(positives).withColumn("positive", F.lit(True))
-    rest = docs.select("doc_id").orderBy(*least).limit(unlabelled).withColumn("positive", F.lit(False))
-    # Both samples are bounded, so their ids are broadcast to the scan of the texts.
-    rows = docs.join(F.broadcast(plus.union(rest)), "doc_id").select("positive", "text").mapInArrow(_buckets, "positive boolean, buckets binary").collect()
-    split = {side: [np.frombuffer(r.buckets, np.int32) for r in rows if r.positive is side] for side in (True, False)}
-    return fit(split[True], split[False], (toxic or 0) / max(1, total))
+    least = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text_hash")]
+    plus = known.where("toxic = 1").select("doc_id").distinct().orderBy(*least[:2]).limit(positives)
+    keys = docs.select("doc_id", "text_hash")
+    plus = keys.join(F.broadcast(plus), "doc_id").distinct().orderBy(*least).limit(positives).withColumn("positive", F.lit(True))
+    rest = keys.distinct().orderBy(*least).limit(unlabelled).withColumn("positive", F.lit(False))
+    # Both samples are bounded, so their keys are broadcast to the scan of the texts.
+    rows = docs.join(F.broadcast(plus.union(rest)), ["doc_id", "text_hash"]).select("positive", "doc_id", "text_hash", "text")
+    rows = rows.mapInArrow(_buckets, "positive boolean, doc_id long, text_hash long, buckets binary").dropDuplicates(["positive", "doc_id", "text_hash"])
+    sample = tables.write(rows, "sample")
+    sizes = {r.positive: r["count"] for r in sample.groupBy("positive").count().collect()}
+    bits, buckets = {True: [], False: []}, np.zeros(0, np.int64)
+    if len(sizes) == 2:
+        buckets = _chosen(sample, sizes[True], sizes[False], most)
+        order = ["positive", "doc_id", "text_hash"]
+        for r in sample.orderBy(*order).mapInArrow(_presence(buckets), "positive boolean, bits binary").collect():
+            bits[r.positive].append(r.bits)
+    tables.drop(sample)
+    p, u = (np.unpackbits(np.frombuffer(b"".join(bits[side]), np.uint8).reshape(len(bits[side]), -(-len(buckets) // 8)), axis=1, count=len(buckets)) for side in (True, False))
+    return fit(p, u, buckets, (toxic or 0) / max(1, total))
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
