@@ -2,27 +2,36 @@ r"""Personal data: base patterns, and candidates judged by gradient boosting.
 
 Base spans (e-mail, IP, card, phone) are found by fixed patterns and always
 stay. High-recall generators propose further, overlapping spans: obfuscated
-e-mails, phone numbers without a country sign, national numbers, IBANs, and
-cards or addresses that the base drops. Of a run of digits, less its base
+e-mails, phone numbers without a country sign, national numbers, IBANs, secrets
+(opaque tokens, and values that are assigned to a name such as ``password``),
+and cards or addresses that the base drops. Of a run of digits, less its base
 spans, every window of tokens is proposed. Boosted regression trees over features
 of a candidate's format and context give a log-odds, which Platt scaling
 calibrates; the least threshold that keeps a kind's precision at ``PRECISION``
 on calibration data selects spans, best first, none overlapping another.
 
-No table labels spans, so the trees are trained on candidates written by a
-seeded generator: personal data in many formats and contexts, and numbers that
-are none (orders, dates, versions, hashes, amounts).
+No table labels spans, so the trees are trained on ``TEXTS`` texts written by a
+seeded generator: personal data in many formats and contexts, and numbers and
+names that are none (orders, dates, versions, commits, amounts, identifiers).
+
+Added spans overlap neither a base span nor each other, but for secrets, which
+may hold a base span (sixteen digits of a key that pass for a card): the whole
+of it is to be redacted.
 
 Defined cases: a null or empty text has no spans; positions are code points,
-end exclusive; repeated rows agree; very long texts and digit runs are scanned
-in linear time. ``redacted`` keeps all columns and a null text null.
+end exclusive; repeated rows agree; very long texts, digit runs and tokens are
+scanned in linear time; an empty table gives no rows; columns other than
+``doc_id`` and ``text`` are not read. ``redacted`` keeps all columns and a null
+text null.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import batched
@@ -35,9 +44,11 @@ from seine.llm.session import ids_and_texts, tune
 from seine.llm.text import pieces
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "national_id", "iban")
+KINDS = (*BASE, "national_id", "iban", "secret")
 PRECISION = 0.98
-_SIGNS = re.compile(r"[0-9@]| at | dot |\[at\]|\(at\)", re.ASCII)
+#: Texts that the trees are trained and calibrated on, half of them each.
+TEXTS = 6000
+_SIGNS = re.compile(r"[0-9@=]| at | dot |\[at\]|\(at\)|assw|ecret|oken", re.ASCII)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _DIGITS = re.compile(r"[0-9]++")
@@ -105,6 +116,11 @@ _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 
 
+#: Tokens of letters and digits that no word is, and what is assigned to a name that tells of a secret.
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9])")
+_KEYED = re.compile(r"(?i:passw(?:or)?d|passwd|pwd|secret|token|credential|api[_-]?key|access[_-]?key|private[_-]?key|bearer)[\"']?(?: ?[:=]{1,2} ?| is | )[\"']?([^\s\"'`,;]{6,256})")
+
+
 def _covered(spans: list[Span]) -> list[tuple[int, int]]:
     """Ranges that the spans cover, sorted and apart."""
     out: list[tuple[int, int]] = []
@@ -154,6 +170,14 @@ def _proposed(text: str, taken: list[tuple[int, int]]) -> Iterator[Span]:
                         yield "ip", lo, hi
     yield from (("national_id", *m.span()) for m in _NATIONAL.finditer(text))
     yield from (("iban", *m.span()) for m in _IBAN.finditer(text))
+    last = {}
+    for m in _OPAQUE.finditer(text):
+        if any(map(str.isdigit, m[0])) and any(map(str.isalpha, m[0])):
+            last[m.span()] = None
+    for m in _KEYED.finditer(text):
+        if len(value := m[1].rstrip(".:)]}>")) >= 6:
+            last[m.start(1), m.start(1) + len(value)] = None
+    yield from (("secret", *x) for x in last)
 
 
 def candidates(text: str, taken: list[tuple[int, int]] | None = None) -> list[Span]:
@@ -168,12 +192,26 @@ _CONTEXT = {
     "phone": re.compile(r"phone|call|tel|fax|mobile|cell|ring|anruf|appel|llam", re.I),
     "national_id": re.compile(r"ssn|social|security|national|insurance|sozial", re.I),
     "iban": re.compile(r"iban|account|bank|konto|compte|cuenta|transfer", re.I),
+    "secret": re.compile(r"passw|passwd|pwd|secret|token|credential|api[_-]?key|access[_-]?key|private[_-]?key|bearer", re.I),
 }
-_OTHER = re.compile(r"order|invoice|ref|version|serial|part|item|sku|isbn|date|total|price|build|commit|amount|page|year|no\.|#|id\b", re.I)
+_OTHER = re.compile(r"sha|md5|hash|checksum|etag|uuid|url|http|file|path|count|policy|order|invoice|ref|version|serial|part|item|sku|isbn|date|total|price|build|commit|amount|page|year|no\.|#|id\b", re.I)
 #: The run goes on before a candidate, with a country sign, or after it.
 _LED, _SIGNED, _FOLLOWED = re.compile(r"[0-9)][ ().\-/]{0,2}$"), re.compile(r"\+[0-9]{1,3}[ ().\-]{0,2}$"), re.compile(r"[ ().\-/]{0,2}[0-9]")
 
 
+#: Beginnings of well-known keys, and the sign of an assignment just before a value.
+_PREFIX, _ASSIGNED = re.compile(r"AKIA|ASIA|gh[pousr]_|sk[-_]|xox[abprs]-|AIza|eyJ|glpat-"), re.compile(r"[:=] ?[\"']?$|[Bb]earer $")
+
+
+def _shape(s: str) -> list[float]:
+    """Whether a token looks drawn at random: entropy, changes between letters and digits, its alphabet."""
+    n = len(s)
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(s).values())
+    changes = sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:]))
+    longest = max(map(len, re.findall(r"[A-Za-z]+", s) or [""]))
+    return [entropy, changes / n, float(all(c in "0123456789abcdefABCDEF" for c in s)), float(s != s.lower() and s != s.upper()), sum(map(str.isdigit, s)) / n, longest / n, float(sum(map(s.count, "-_/"))), float(bool(_PREFIX.match(s)))]
+
+
 def features(text: str, span: Span) -> list[float]:
     """Format and context of a candidate."""
     kind, lo, hi = span
@@ -190,6 +228,7 @@ def features(text: str, span: Span) -> list[float]:
         float(bool(_OTHER.search(before[-16:]))), float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before[-1:] in "$€£#/=_-." if before else 0),
         float(after[:1] in "%€$/=_-" if after else 0), float(_iban(s)) if kind == "iban" else 0.0, float(groups in ([3, 3, 4], [1, 3, 3, 4], [3, 4])),
         float(bool(_LED.search(before))), float(bool(_SIGNED.search(before))), float(bool(_FOLLOWED.match(after))),
+        float(bool(_ASSIGNED.search(before))), *(_shape(s) if kind == "secret" else [0.0] * 8),
     ]
 
 
@@ -255,7 +294,7 @@ def _written(rng: np.random.Generator) -> tuple[str, Span | None]:
     kind, said = None, ""
     if rng.random() < 0.5:
         kind = pick(*KINDS)
-        said = {"email": pick("mail", "contact", "write to"), "ip": pick("ip", "host", "server"), "card": pick("card", "visa", "credit card"), "phone": pick("phone", "call", "tel"), "national_id": pick("ssn", "social security"), "iban": pick("iban", "bank account")}[kind] + pick("", ":", " is") + " "
+        said = {"email": pick("mail", "contact", "write to"), "ip": pick("ip", "host", "server"), "card": pick("card", "visa", "credit card"), "phone": pick("phone", "call", "tel"), "national_id": pick("ssn", "social security"), "iban": pick("iban", "bank account"), "secret": pick("token", "secret", "password", "api_key", "access key", "Bearer")}[kind] + pick("", ":", " is") + " "
         if kind == "email":
             s = f"{word()}{pick('', '.', '_')}{word()}{pick(' at ', ' [at] ', '(at)', '@')}{word()}{pick(' dot ', ' [dot] ', '(dot)')}{pick('com', 'org', 'net', 'de')}"
         elif kind == "ip":
@@ -268,6 +307,14 @@ def _written(rng: np.random.Generator) -> tuple[str, Span | None]:
             s = pick(f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"0{num(3)} {num(7)}", f"00{num(2)} {num(3)} {num(7)}", f"+{rng.integers(1, 100)} ({num(3)}) {num(3)}-{num(4)}", f"+{rng.integers(1, 100)} {num(3)} {num(3)} {num(4)}")
         elif kind == "national_id":
             s = f"{num(3)}-{num(2)}-{num(4)}"
+        elif kind == "secret":
+            letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+            drawn = lambda n, of=letters: "".join(pick(*of) for _ in range(n))
+            s = [lambda: drawn(int(pick(32, 40, 64)), "0123456789abcdef"), lambda: drawn(int(rng.integers(20, 65))), lambda: drawn(int(rng.integers(20, 60)), letters + "+/_-"), lambda: "AKIA" + drawn(16, letters[26:]), lambda: f"{pick('ghp_', 'sk-', 'xoxb-', 'glpat-')}{drawn(int(rng.integers(24, 41)))}", lambda: f"{word()}{num(3)}{pick('!', '#', '$')}{word()}"][int(rng.integers(6))]()
+            said = pick("token = ", "secret: ", "api_key=", "password = ", "access_key: ", "Authorization: Bearer ", "API-KEY = ", "passwd=", "my token is ")
+            said += pick('"', "'", "", "") if said[-2:] in ("= ", ": ") or said[-1] == "=" else ""
+            if _PREFIX.match(s):
+                said = pick(said, "", "use ")
         else:
             d = pick("DE", "FR", "ES") + "00" + num(18)
             check = 98 - int("".join(str(int(c, 36)) for c in d[4:] + d[:4])) % 97
@@ -276,11 +323,14 @@ def _written(rng: np.random.Generator) -> tuple[str, Span | None]:
     else:
         s = pick(num(rng.integers(7, 20)), f"20{num(2)}-0{rng.integers(1, 10)}-1{num(1)} 1{num(1)}", f"{num(2)}.{num(2)}.20{num(2)}", f"{num(1)}.{num(2)}.{num(1)}.{num(4)}", f"{num(3)}.{num(3)}.{num(3)}", f"{num(4)}/{num(4)}", f"{num(1)} {num(3)} {num(3)}", f"{num(3)}-{num(2)}-{num(4)}", f"ZZ{num(2)} {num(4)} {num(4)} {num(4)}", f"{word()} at {word()}.{word()}", num(16))
         said = pick("order ", "invoice ", "ref ", "version ", "total ", "serial ", "", "", "", "#", "date ", "build ", "id ")
+        if rng.random() < 0.4:  # what looks like a secret
+            hexes = lambda n: "".join(pick(*"0123456789abcdef") for _ in range(n))
+            said, s = [lambda: (pick("commit ", "sha1 ", "checksum: ", "md5 = ", "etag: ", "at ", ""), hexes(int(pick(32, 40, 64)))), lambda: (pick("id ", "uuid: ", ""), f"{hexes(8)}-{hexes(4)}-4{hexes(3)}-{hexes(4)}-{hexes(12)}"), lambda: (pick("see ", "file ", "path = "), "/".join(word() + pick("", num(2)) for _ in range(6))), lambda: (pick("", "in ", "call "), "_".join(word() for _ in range(5)) + num(int(rng.integers(1, 4)))), lambda: (pick("token count: ", "tokens = ", "token ", "password policy: ", "secret ", "the password ", "bearer "), pick(num(int(rng.integers(6, 9))), word() + word() + word()))][int(rng.integers(5))]()
     lead = " ".join(word() for _ in range(rng.integers(0, 6))) + " "
     # A phone number may stand beside another number, without a word that names it.
     beside = pick("", "", "", f" {num(rng.integers(1, 9))}", " " + ".".join(str(rng.integers(0, 256)) for _ in range(4))) if kind == "phone" else ""
     said = pick(said, "") if beside else said
-    tail = beside + pick(" ", ". ", ", ") + " ".join(word() for _ in range(rng.integers(0, 6)))
+    tail = beside + (said[-1:] if said[-1:] in ("'", '"') else "") + pick(" ", ". ", ", ") + " ".join(word() for _ in range(rng.integers(0, 6)))
     lo = len(lead) + len(said)
     return f"{lead}{said}{s}{tail}", (kind, lo, lo + len(s)) if kind else None
 
@@ -303,7 +353,7 @@ class Detector:
         taken = _covered(sure)
         free = lambda a, b: not (k := bisect_left(taken, (b, b))) or taken[k - 1][1] <= a
         able: list[tuple[float, Span]] = []  # a run may have many candidates, only these are held
-        for part in batched((s for s in _proposed(text, taken) if free(s[1], s[2])), BLOCK):
+        for part in batched((s for s in _proposed(text, taken) if s[0] == "secret" or free(s[1], s[2])), BLOCK):
             able += [(-p, s) for p, s in zip(self.probabilities(text, list(part)).tolist(), part) if p >= self.threshold[s[0]]]
         added: list[Span] = []
         held: list[tuple[int, int]] = []  # selected, sorted, apart from each other
@@ -316,7 +366,7 @@ class Detector:
         return sure, sorted(sure + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
-def train(texts: int = 4000, seed: int = 3, precision: float = PRECISION) -> Detector:
+def train(texts: int = TEXTS, seed: int = 3, precision: float = PRECISION) -> Detector:
     """Trees on half of the written texts; calibration and thresholds on the other."""
     rng = np.random.default_rng(seed)
     halves: list[tuple[list, list, list]] = [([], [], []), ([], [], [])]
