@@ -24,7 +24,8 @@ columns aren't read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -123,28 +124,46 @@ def sonify(vector: np.ndarray | list[float]) -> bytes:
     return (12_000 * np.sin(np.cumsum(step))).astype("<i2").tobytes()
 
 
-def _melodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        audio = [sonify(v.values.to_numpy(zero_copy_only=False)) if v.is_valid else None for v in batch.column("vector")]
-        yield pa.record_batch([batch.column("id"), pa.array(audio, pa.binary())], names=["id", "audio"])
+def _prints(decode: Callable[[Any], bytes] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for x in batch.column("audio"):
+                raw = b"" if not x.is_valid else x.as_py() if decode is None else decode(x.values.to_numpy(zero_copy_only=False) if pa.types.is_list(x.type) else x.as_py())
+                found.append(fingerprint(np.frombuffer(raw[: len(raw) // 2 * 2], "<i2")))
+            yield pa.record_batch([batch.column("id"), pa.array([f.view(np.int32) for f in found], pa.list_(pa.int32())), pa.array([zlib.crc32(f.tobytes()) for f in found], pa.int64())], names=["id", "prints", "prints_crc32"])
 
+    return run
 
-def melodies(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """(id, audio): a stand-in recording for every vector; a null one has no audio."""
-    tune(vectors.sparkSession)
-    return vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).mapInArrow(_melodies, "id long, audio binary")
 
+def fingerprints(media: DataFrame, id_column: str, audio: Column, decode: Callable[[Any], bytes] | None = None) -> DataFrame:
+    """Per recording: id, prints (packed integers), prints_crc32.
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [fingerprint(np.frombuffer((x or b"")[: len(x or b"") // 2 * 2], "<i2")) for x in batch.column("audio").to_pylist()]
-        yield pa.record_batch([batch.column("id"), pa.array([f.view(np.int32) for f in found], pa.list_(pa.int32())), pa.array([zlib.crc32(f.tobytes()) for f in found], pa.int64())], names=["id", "prints", "prints_crc32"])
+    ``decode`` makes 16-bit PCM of the column's values where they are read;
+    without it they are that already.
+    """
+    tune(media.sparkSession)
+    return media.select(F.col(id_column).cast("long").alias("id"), audio.alias("audio")).mapInArrow(_prints(decode), "id long, prints array<int>, prints_crc32 long")
 
 
-def fingerprints(media: DataFrame, id_column: str, audio: Column) -> DataFrame:
-    """Per recording: id, prints (packed integers), prints_crc32."""
-    tune(media.sparkSession)
-    return media.select(F.col(id_column).cast("long").alias("id"), audio.alias("audio")).mapInArrow(_prints, "id long, prints array<int>, prints_crc32 long")
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class_id, query_id, n, value, at, size): runs of equal integers."""
+    for batch in batches:
+        prints = batch.column("prints")
+        first = np.asarray(prints.offsets, np.int64)
+        value = np.asarray(prints.values)[first[0] : first[-1]]
+        first = first - first[0]
+        new = np.ones(len(value), bool)
+        new[1:] = value[1:] != value[:-1]
+        new[first[:-1][np.diff(first) > 0]] = True
+        start = np.flatnonzero(new)
+        row = np.searchsorted(first, start, "right") - 1
+        size = np.diff(np.append(start, len(value)))
+        take = pa.array(row)
+        yield pa.record_batch(
+            [batch.column("class_id").take(take), batch.column("query_id").take(take), pa.array(np.diff(first)[row]), pa.array(value[start], pa.int32()), pa.array(start - first[row]), pa.array(size)],
+            names=["class_id", "query_id", "n", "value", "at", "size"],
+        )
 
 
 PAIRS = "id long, query_id long, offset int, votes long, bit_error double"
@@ -157,13 +176,6 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("id"), batch.column("query_id"), batch.column("offset"), batch.column("votes"), pa.array(error, pa.float64())], names=["id", "query_id", "offset", "votes", "bit_error"])
 
 
-def _runs(values: Column) -> Column:
-    """Runs of equal values: (value, at, size)."""
-    last = F.size(values) - 1
-    starts = F.filter(F.sequence(F.lit(0), last), lambda k: (k == 0) | (F.get(values, k) != F.get(values, k - 1)))
-    return F.when(last >= 0, F.transform(starts, lambda at, i: F.struct(F.get(values, at).alias("value"), at.alias("at"), (F.coalesce(F.get(starts, i + 1), last + 1) - at).alias("size"))))
-
-
 def search(prints: DataFrame, is_query: Column, min_votes: int = MIN_VOTES) -> DataFrame:
     """Per recording: id, class_id, n_prints, prints_crc32, and, for each query that its class aligns with, query_id, offset, votes and bit_error.
 
@@ -180,13 +192,12 @@ def search(prints: DataFrame, is_query: Column, min_votes: int = MIN_VOTES) -> D
     asked_id = F.when(is_query, F.col("id"))
     kinds = one.where("digest is not null").groupBy("digest").agg(F.min("id").alias("class_id"), F.min(asked_id).alias("query_id"), F.max(asked_id).alias("other_query"), F.first("prints").alias("prints"))
     kinds = tables.write(kinds, "kinds")
-    floor = F.least(F.size("prints"), F.lit(min_votes))
-    posts = kinds.select("class_id", floor.alias("floor"), F.explode(_runs(F.col("prints"))).alias("run")).select("class_id", "floor", "run.*")
-    asked = kinds.where("query_id is not null").select("query_id", F.col("class_id").alias("query_class"), floor.alias("query_floor"), F.explode(_runs(F.col("prints"))).alias("run"))
-    asked = asked.select("query_id", "query_class", "query_floor", "run.value", F.col("run.at").alias("query_at"), F.col("run.size").alias("query_size"))
+    runs = kinds.select("class_id", "query_id", "prints").mapInArrow(_runs, "class_id long, query_id long, n long, value int, at long, size long")
+    asked = runs.where("query_id is not null").select("query_id", F.col("class_id").alias("query_class"), F.col("n").alias("query_n"), "value", F.col("at").alias("query_at"), F.col("size").alias("query_size"))
+    posts = runs.select("class_id", "n", "value", "at", "size").join(asked, "value").where("class_id <> query_class")
     step = F.explode(F.sequence(1 - F.col("query_size"), F.col("size") - 1)).alias("step")
-    met = posts.join(asked, "value").where("class_id <> query_class").select("class_id", "query_id", F.least("floor", "query_floor").alias("floor"), (F.col("at") - F.col("query_at")).alias("first"), "size", "query_size", step)
-    votes = met.groupBy("class_id", "query_id", (F.col("first") + F.col("step")).alias("offset"))
+    met = posts.select("class_id", "query_id", F.least("n", "query_n", F.lit(min_votes)).alias("floor"), (F.col("at") - F.col("query_at")).alias("first"), "size", "query_size", step)
+    votes = met.groupBy("class_id", "query_id", (F.col("first") + F.col("step")).cast("int").alias("offset"))
     # Frames of the two runs that meet at an offset.
     both = F.least("size", "query_size", F.col("step") + F.col("query_size"), F.col("size") - F.col("step"))
     votes = votes.agg(F.sum(both).cast("long").alias("votes"), F.max("floor").alias("floor")).where("votes >= floor")

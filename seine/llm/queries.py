@@ -71,8 +71,8 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    audio = chroma.melodies(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
-    return chroma.search(chroma.fingerprints(audio, "id", F.col("audio")), F.col("id") % 50 == 0).withColumnRenamed("id", "vec_id")
+    prints = chroma.fingerprints(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", F.col("embedding"), chroma.sonify)
+    return chroma.search(prints, F.col("id") % 50 == 0).withColumnRenamed("id", "vec_id")
 
 
 @query
