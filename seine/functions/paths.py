@@ -9,12 +9,135 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: name -> globs; ours, extended by ``type_add``.
-TYPES: dict[str, list[str]] = {
-    "c": ["*.c", "*.h"], "cpp": ["*.cc", "*.cpp", "*.cxx", "*.hpp"], "css": ["*.css"], "go": ["*.go"], "html": ["*.html", "*.htm"], "java": ["*.java"],
-    "js": ["*.js", "*.mjs"], "json": ["*.json"], "make": ["Makefile", "*.mk"], "markdown": ["*.md", "*.markdown"], "py": ["*.py", "*.pyi"], "rust": ["*.rs"],
-    "sh": ["*.sh", "*.bash"], "sql": ["*.sql"], "toml": ["*.toml"], "ts": ["*.ts", "*.tsx"], "txt": ["*.txt"], "xml": ["*.xml"], "yaml": ["*.yaml", "*.yml"],
-}
+#: name and globs of each type; ours, extended by ``type_add`` and cut by ``type_clear``.
+_TYPES = """
+ada *.adb *.ads
+asciidoc *.adoc *.asc *.asciidoc
+asm *.asm *.s *.S
+avro *.avdl *.avpr *.avsc
+awk *.awk
+bat *.bat *.cmd
+bazel *.bazel *.bzl BUILD WORKSPACE
+bitbake *.bb *.bbappend *.bbclass *.conf *.inc
+bzip2 *.bz2 *.tbz2
+c *.c *.h *.H *.cats
+cabal *.cabal
+clojure *.clj *.cljc *.cljs *.cljx
+cmake *.cmake CMakeLists.txt
+config *.cfg *.conf *.config *.ini
+cpp *.cc *.cpp *.cxx *.c++ *.hh *.hpp *.hxx *.h++ *.inl *.C *.H *.h
+crystal *.cr *.ecr Projectfile
+cs *.cs
+csharp *.cs
+css *.css *.scss
+csv *.csv
+cython *.pyx *.pxd *.pxi
+d *.d
+dart *.dart
+diff *.diff *.patch
+docker *Dockerfile*
+elixir *.ex *.exs *.eex *.heex *.leex
+elm *.elm
+erlang *.erl *.hrl
+fish *.fish
+fortran *.f *.F *.f77 *.f90 *.F90 *.f95 *.for
+fsharp *.fs *.fsi *.fsx
+gn *.gn *.gni
+go *.go
+gradle *.gradle *.gradle.kts
+graphql *.graphql *.graphqls
+groovy *.groovy *.gradle
+gzip *.gz *.tgz
+h *.h *.hh *.hpp
+haml *.haml
+haskell *.hs *.lhs *.hsc
+html *.html *.htm *.ejs
+idris *.idr *.lidr
+java *.java *.jsp *.jspx *.properties
+jinja *.j2 *.jinja *.jinja2
+js *.js *.jsx *.mjs *.cjs *.vue
+json *.json composer.lock
+jsonl *.jsonl
+julia *.jl
+jupyter *.ipynb *.jpynb
+kotlin *.kt *.kts
+less *.less
+license COPYING* LICENCE* LICENSE* EULA*
+lisp *.el *.lisp *.lsp *.sc *.scm
+lock *.lock package-lock.json
+log *.log
+lua *.lua
+m4 *.ac *.m4
+make *.mak *.mk Makefile makefile GNUmakefile Makefile.* makefile.*
+man *.[0-9lnpx] *.[0-9][cEFMmpSx]
+markdown *.markdown *.md *.mdown *.mdwn *.mdx *.mkd *.mkdn
+matlab *.m
+md *.markdown *.md *.mdown *.mdwn *.mdx *.mkd *.mkdn
+meson meson.build meson_options.txt
+mk mkfile
+ml *.ml
+nim *.nim *.nimf *.nimble *.nims
+nix *.nix
+objc *.h *.m
+objcpp *.h *.mm
+ocaml *.ml *.mli *.mll *.mly
+org *.org *.org_archive
+pascal *.pas *.dpr *.lpr *.pp *.inc
+pdf *.pdf
+perl *.perl *.pl *.PL *.plh *.plx *.pm *.t
+php *.php *.php3 *.php4 *.php5 *.php7 *.php8 *.pht *.phtml
+postscript *.eps *.ps
+protobuf *.proto
+ps *.cdxml *.ps1 *.ps1xml *.psd1 *.psm1
+puppet *.epp *.erb *.pp *.rb
+purs *.purs
+py *.py *.pyi
+qml *.qml
+r *.R *.r *.Rmd *.Rnw
+rdoc *.rdoc
+readme README* *README
+rst *.rst
+ruby *.rb *.rbw *.gemspec Gemfile Rakefile config.ru
+rust *.rs
+sass *.sass *.scss
+scala *.scala *.sbt
+sh *.bash *.csh *.ksh *.sh *.tcsh *.zsh .bashrc .profile .zshrc
+slim *.slim *.skim
+sml *.sml *.sig
+solidity *.sol
+sql *.sql *.psql
+stylus *.styl
+sv *.h *.sv *.svh *.v *.vg
+svelte *.svelte
+svg *.svg
+swift *.swift
+systemd *.automount *.mount *.path *.service *.socket *.target *.timer
+tcl *.tcl
+tex *.bib *.cls *.dtx *.ins *.ltx *.sty *.tex
+textile *.textile
+tf *.auto.tfvars *.terraformrc *.tf *.tf.json *.tfrc *.tfvars
+thrift *.thrift
+toml *.toml Cargo.lock
+ts *.cts *.mts *.ts *.tsx
+twig *.twig
+txt *.txt
+typescript *.cts *.mts *.ts *.tsx
+vala *.vala
+vb *.vb
+verilog *.sv *.svh *.v *.vh
+vhdl *.vhd *.vhdl
+vim *.vim .gvimrc .vimrc _vimrc gvimrc vimrc
+vue *.vue
+webidl *.idl *.webidl *.widl
+xml *.dtd *.rng *.sch *.xhtml *.xml *.xml.dist *.xjb *.xsd *.xsl *.xslt
+xz *.txz *.xz
+yacc *.y
+yaml *.yaml *.yml
+zig *.zig
+zsh *.zsh .zlogin .zlogout .zprofile .zshenv .zshrc zlogin zshrc
+zstd *.zst *.zstd
+"""
+TYPES: dict[str, list[str]] = {name: globs.split() for name, globs in (x.split(" ", 1) for x in _TYPES.strip().splitlines())}
 _ESCAPE = re.compile(r"[\\^$.|+()\[\]{}*?]")
 
 
@@ -136,11 +259,58 @@ def type_add(types: dict[str, list[str]], definition: str) -> dict[str, list[str
     return types | {name: [*types.get(name, []), *more]}
 
 
+def type_clear(types: dict[str, list[str]], name: str) -> dict[str, list[str]]:
+    """Without the globs of a type; the name is unknown until they are added again."""
+    return {k: v for k, v in types.items() if k != name}
+
+
+def type_table(changes: tuple[tuple[str, str], ...]) -> dict[str, list[str]]:
+    """The types after additions and clearings in their order."""
+    out = dict(TYPES)
+    for what, value in changes:
+        out = type_add(out, value) if what == "add" else type_clear(out, value)
+    return out
+
+
 def hidden(path: Column) -> Column:
     """Whether any component begins with a dot."""
     return path.rlike(r"(^|/)\.")
 
 
+def shown(path: Column, globs: list[str], iglobs: list[str], glob_fold: bool, of_type: Column) -> Column:
+    """Whether no component is hidden but those that a positive glob names; a type names files alone."""
+    rules = [r for g, fold in (*((g, glob_fold) for g in globs), *((g, True) for g in iglobs)) if (r := Rule.parse(g, ignore_case=fold))]
+
+    def rescued(level: Column) -> Column:
+        named = F.coalesce(verdict(rules, level, level != path), F.lit(False)) if rules else F.lit(False)
+        return named | ((level == path) & of_type)
+
+    if not rules:
+        return ~hidden(F.regexp_replace(path, "[^/]*$", "")) & (~path.rlike(r"(^|/)\.[^/]*$") | of_type)
+    return F.forall(_levels(path), lambda level: ~level.rlike(r"(^|/)\.[^/]*$") | rescued(level))
+
+
+def under(path: Column, operand: str) -> Column:
+    """Whether an operand, a file or a folder, holds the path."""
+    return F.lit(True) if operand in (".", "") else (path == operand) | path.startswith(operand + "/")
+
+
+def below(path: Column, operand: str) -> Column:
+    """The rest of a path below an operand ("" for the operand itself)."""
+    return path if operand in (".", "") else F.substring(path, len(operand) + 2, 1 << 30)
+
+
+def display(path: Column, folder: str = "", separator: str = "/") -> Column:
+    """A path of the corpus as seen from a folder of it: relative, climbing with ``..`` where it has to."""
+    parts = [p for p in folder.split("/") if p not in ("", ".")]
+    out = path
+    for k in range(len(parts) + 1):
+        base = "/".join(parts[:k])
+        rest = F.concat(F.lit("../" * (len(parts) - k)), below(path, base))
+        out = rest if k == 0 else F.when(path.startswith(base + "/"), rest).otherwise(out)
+    return out if separator == "/" else F.translate(out, "/", separator)
+
+
 def excluded(path: Column) -> Column:
     """Never listed, whatever the options."""
     return path.rlike(r"(^|/)(\.git|\.seine)(/|$)")

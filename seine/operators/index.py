@@ -1,30 +1,53 @@
 """The trigram index: build, open, freshness, deltas, compaction, candidates.
 
-An index is a folder of generations. A generation holds ``manifest`` (one row
-for each file id), ``postings`` (tri, file_id; ranged and sorted by trigram, so
-that row-group statistics serve look-ups) and ``stats`` (tri, df); a pointer
-file, written last, names the current one. Ids are never reused: a changed file
-is a tombstone and a new id.
+An index is a folder of generations. A generation holds segments, each with a
+``manifest`` (one row for each file id), ``postings`` (tri, file_id; ranged and
+sorted by trigram, so that row-group statistics serve look-ups, and delta-coded,
+as neighbours differ little) and ``stats`` (tri, df); a pointer file, written
+last, names the current one. Ids are never reused: a changed file is a tombstone
+and a new id.
+
+A build reads every content once: what comes out of it, a file's flags and
+distinct trigrams, is written next to the index, so contents are never shuffled
+and ids need no order of the paths.
+
+One writer at a time holds the lock. Whoever finds it taken answers from the
+index as it is, with the files that are new or changed as candidates of their
+own; where there is no index yet, all files are candidates.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import threading
 import time
 from collections.abc import Iterator
+from contextlib import contextmanager, suppress
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VERSION = 1
+VERSION = 2
 #: Bytes above which a file is searched always, not indexed.
 TOO_LARGE = 16 << 20
 BINARY_WINDOW = 64 << 10
 #: Share of the main postings that a delta may reach before all is rebuilt.
 COMPACT = 0.1
+#: Seconds after which a lock is taken for that of a dead writer.
+STALE = 6 * 3600
+_FLAGS = ("too_large", "transcode", "is_binary", "nul_late")
+#: Delta coding of integer columns needs the second page format and no dictionary.
+_DELTA = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false", "compression": "zstd"}
+
+
+class Busy(RuntimeError):
+    """Another writer holds the lock."""
 
 
 def classify(files: DataFrame, cap: int = TOO_LARGE) -> DataFrame:
@@ -42,8 +65,7 @@ def classify(files: DataFrame, cap: int = TOO_LARGE) -> DataFrame:
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, value in zip(batch.column("file_id").to_pylist(), batch.column("content")):
-            a = np.frombuffer(value.as_buffer() or b"", np.uint8).astype(np.int32)
-            tri = np.unique(a[:-2] << 16 | a[1:-1] << 8 | a[2:]) if len(a) > 2 else np.zeros(0, np.int32)
+            tri = _distinct(value.as_buffer())
             if len(tri):
                 yield pa.record_batch([pa.array(tri, pa.int32()), pa.array(np.full(len(tri), key, np.int64))], names=["tri", "file_id"])
 
@@ -53,22 +75,21 @@ def postings(files: DataFrame) -> DataFrame:
     return files.where("content is not null").select("file_id", F.col("content").cast("binary").alias("content")).mapInArrow(_trigrams, "tri int, file_id long")
 
 
-def numbered(files: DataFrame, to: str, first: int = 0) -> DataFrame:
-    """``file_id`` from ``first`` in path order, without one task for all rows.
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows without their ``content`` but with ``tris``, its distinct trigrams, where it is indexed."""
+    kind = pa.list_(pa.int32())
+    for batch in batches:
+        skip = np.zeros(batch.num_rows, bool)
+        for flag in ("too_large", "transcode", "is_binary"):
+            skip |= batch.column(flag).to_numpy(zero_copy_only=False)
+        tris = [None if no or not value.is_valid else _distinct(value.as_buffer()) for no, value in zip(skip.tolist(), batch.column("content"))]
+        names = [n for n in batch.schema.names if n != "content"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(tris, kind)], names=[*names, "tris"])
 
-    Sorted ranges are written below ``to``, then get ids from their sizes; only
-    those (one a task) reach the driver.
-    """
-    spark = files.sparkSession
-    ranged = files.repartitionByRange("path").sortWithinPartitions("path").withColumn("_part", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id())
-    ranged.write.parquet(to)
-    ranged = spark.read.parquet(to)
-    at, rows = first, []
-    for r in ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min("_n").alias("low")).orderBy("_part").collect():
-        rows.append((r["_part"], at - r["low"]))
-        at += r["n"]
-    shift = spark.createDataFrame(rows, "_part int, shift long")
-    return ranged.join(F.broadcast(shift), "_part").withColumn("file_id", F.col("_n") + F.col("shift")).drop("_part", "_n", "shift")
+
+def _distinct(raw: pa.Buffer) -> np.ndarray:
+    a = np.frombuffer(raw or b"", np.uint8).astype(np.int32)
+    return np.unique(a[:-2] << 16 | a[1:-1] << 8 | a[2:]) if len(a) > 2 else np.zeros(0, np.int32)
 
 
 class Index:
@@ -77,6 +98,33 @@ class Index:
     def __init__(self, spark: SparkSession, path: str, cap: int = TOO_LARGE) -> None:
         self.spark, self.path, self.cap = spark, path.rstrip("/"), cap
         self.fs, self.local = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), self.path)
+        #: Paths that are new or changed since the last writer's sweep, while its lock is held.
+        self.extras: DataFrame | None = None
+        self.gone: DataFrame | None = None
+        self.no_index = False
+
+    @contextmanager
+    def lock(self) -> Iterator[None]:
+        """Hold the writers' lock; ``Busy`` if another does."""
+        at = f"{self.local}/lock"
+        self.fs.create_dir(self.local)
+        if isinstance(self.fs, pafs.LocalFileSystem):
+            with suppress(FileNotFoundError):
+                if time.time() - os.stat(at).st_mtime > STALE:
+                    os.unlink(at)
+            try:
+                os.close(os.open(at, os.O_CREAT | os.O_EXCL))
+            except FileExistsError:
+                raise Busy(f"{self.path} is being written") from None
+        else:  # no exclusive creation: a commit checks the generation it began from as well
+            if self.fs.get_file_info(at).type != pafs.FileType.NotFound:
+                raise Busy(f"{self.path} is being written")
+            with self.fs.open_output_stream(at):
+                pass
+        try:
+            yield
+        finally:
+            self.fs.delete_file(at)
 
     def meta(self) -> dict | None:
         """The pointer, or None where there is no index of this version."""
@@ -87,38 +135,87 @@ class Index:
             return None
         return meta if meta.get("version") == VERSION else None
 
-    def _commit(self, **meta) -> None:
-        with self.fs.open_output_stream(f"{self.local}/current.json.new") as f:
-            f.write(json.dumps({"version": VERSION, **meta}).encode())
-        self.fs.move(f"{self.local}/current.json.new", f"{self.local}/current.json")
-
-    def _write(self, files: DataFrame, to: str, first: int) -> int:
-        """Manifest and postings of files; returns the next id."""
-        flags = ["path", "mtime", "size", "too_large", "transcode", "is_binary", "nul_late"]
-        staged = numbered(classify(files, self.cap), f"{to}/staged", first)
-        staged.select("file_id", *flags).write.parquet(f"{to}/manifest")
-        tri = postings(staged.where("not too_large and not transcode and not is_binary"))
-        tri.repartitionByRange("tri").sortWithinPartitions("tri", "file_id").write.parquet(f"{to}/postings")
-        self.spark.read.parquet(f"{to}/postings").groupBy("tri").agg(F.count("*").alias("df")).write.parquet(f"{to}/stats")
+    def _commit(self, was: dict | None, **meta) -> None:
+        """Write the pointer, unless another writer has since ``was`` was read."""
+        if (self.meta() or {}).get("serial") != (was or {}).get("serial"):
+            raise Busy(f"{self.path} was written meanwhile")
+        new = f"{self.local}/current.json.{os.getpid()}.{threading.get_ident()}"
+        with self.fs.open_output_stream(new) as f:
+            f.write(json.dumps({"version": VERSION, **meta, "serial": time.time_ns()}).encode())
+        self.fs.move(new, f"{self.local}/current.json")
+
+    def _write(self, files: DataFrame, to: str, first: int) -> tuple[int, int, int]:
+        """Manifest, postings and their counts for files; returns the next id, the files searched always, and the postings."""
+        columns = ["path", "mtime", "size", *_FLAGS]
+        source = classify(files, self.cap).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_n"))
+        source = source.select(*columns, "_part", "_n", F.col("content").cast("binary").alias("content"))
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "content")
+        source.mapInArrow(_grams, f"{kinds}, tris array<int>").write.options(**_DELTA).parquet(f"{to}/staged")
+        staged = self.spark.read.parquet(f"{to}/staged")
+        at, rows = first, []
+        # One row a task.
+        for r in staged.groupBy("_part").agg(F.count("*").alias("n"), F.min("_n").alias("low")).orderBy("_part").collect():
+            rows.append((r["_part"], at - r["low"]))
+            at += r["n"]
+        shift = self.spark.createDataFrame(rows, "_part int, shift long")
+        staged = staged.join(F.broadcast(shift), "_part").withColumn("file_id", F.col("_n") + F.col("shift"))
+        staged.select("file_id", *columns).write.parquet(f"{to}/manifest")
+        tri = staged.select("file_id", F.explode("tris").alias("tri")).select("tri", "file_id")
+        tri.repartitionByRange("tri").sortWithinPartitions("tri", "file_id").write.options(**_DELTA).parquet(f"{to}/postings")
+        stats = self.spark.read.parquet(f"{to}/postings").groupBy("tri").agg(F.count("*").alias("df"))
+        stats.sortWithinPartitions("tri").write.options(**_DELTA).parquet(f"{to}/stats")
         self.fs.delete_dir((to if "://" not in to else pafs.FileSystem.from_uri(to)[1]) + "/staged")
-        return first + self.spark.read.parquet(f"{to}/manifest").count()
+        always = F.coalesce(F.sum(reduce(Column.__or__, map(F.col, _FLAGS)).cast("long")), F.lit(0))
+        total = self.spark.read.parquet(f"{to}/stats").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+        return at, self.spark.read.parquet(f"{to}/manifest").agg(always).first()[0], total
 
     def build(self, corpus: DataFrame) -> Index:
         """A new generation of everything."""
-        gen = str(time.time_ns())
+        with self.lock():
+            return self._build(corpus)
+
+    def _build(self, corpus: DataFrame) -> Index:
+        was, gen = self.meta(), str(time.time_ns())
         self.fs.create_dir(f"{self.local}/{gen}")
-        nxt = self._write(corpus, f"{self.path}/{gen}/0", 0)
-        self._commit(generation=gen, segments=["0"], dead=[], next_id=nxt, swept=time.time())
+        nxt, always, total = self._write(corpus, f"{self.path}/{gen}/0", 0)
+        self._commit(was, generation=gen, segments=["0"], sizes=[total], always=always, dead=[], next_id=nxt, swept=time.time())
+        self.extras = self.gone = None
+        self.no_index = False
+        if was:  # readers of the old generation that have not begun will find the new one
+            with suppress(FileNotFoundError):
+                self.fs.delete_dir(f"{self.local}/{was['generation']}")
         return self
 
     def open(self, corpus: DataFrame, ttl: float = 0, under: str = "") -> Index:
-        """Build where there is none, else bring up to date (unless swept within ``ttl`` seconds)."""
+        """Build where there is none, else bring up to date (unless swept within ``ttl`` seconds).
+
+        While another writer is at it, the index stays as it is: see ``extras``.
+        """
         meta = self.meta()
-        if meta is None:
-            return self.build(corpus)
-        if ttl > 0 and time.time() - meta["swept"] <= ttl:
+        if meta and ttl > 0 and time.time() - meta["swept"] <= ttl:
+            return self
+        try:
+            return self.update(corpus, under) if meta else self.build(corpus)
+        except Busy:
+            self.no_index = self.meta() is None
+            if not self.no_index:
+                diff = freshness(corpus, self.manifest()).where(_inside(under) if under else F.lit(True))
+                self.extras = diff.where("status in ('new', 'changed')").select("path")
+                self.gone = diff.where("status in ('dead')").select("path")
             return self
-        return self.update(corpus, under)
+
+    def open_later(self, corpus: DataFrame, least_bytes: int = 64 << 20) -> threading.Thread | None:
+        """As ``open``, but a first build of much is done beside: until then all files are candidates."""
+        if self.meta() is not None:
+            self.open(corpus)
+            return None
+        if (corpus.agg(F.sum("size")).first()[0] or 0) < least_bytes:
+            self.open(corpus)
+            return None
+        self.no_index = True
+        beside = threading.Thread(target=lambda: Index(self.spark, self.path, self.cap).open(corpus), name="first-build")
+        beside.start()
+        return beside
 
     def _all(self, table: str) -> DataFrame:
         meta = self.meta()
@@ -143,60 +240,117 @@ class Index:
 
     def update(self, corpus: DataFrame, under: str = "", whole: bool = True) -> Index:
         """Tombstones and one more segment for what changed; a rebuild once deltas weigh ``COMPACT``."""
+        with self.lock():
+            return self._update(corpus, under, whole)
+
+    def _update(self, corpus: DataFrame, under: str, whole: bool) -> Index:
         meta = self.meta()
         live = self.manifest()
         if under:
-            inside = F.col("path").startswith(under.rstrip("/") + "/") | (F.col("path") == under.rstrip("/"))
-            corpus, live = corpus.where(inside), live.where(inside)
+            corpus, live = corpus.where(_inside(under)), live.where(_inside(under))
         diff = freshness(corpus, live)
         if not whole:
             diff = diff.where("status <> 'dead'")
+        swept = meta["swept"] if under or not whole else time.time()
+        if diff.where("status <> 'same'").isEmpty():
+            self._commit(meta, **{k: v for k, v in meta.items() if k not in ("version", "serial")} | {"swept": swept})
+            return self
         gen, name = f"{self.path}/{meta['generation']}", str(len(meta["segments"]))
         dead = f"dead-{name}-{time.time_ns()}"
         diff.where("status in ('changed', 'dead')").select("file_id").write.parquet(f"{gen}/{dead}")
         fresh = corpus.join(diff.where("status in ('new', 'changed')").select("path"), "path", "left_semi")
-        nxt = self._write(fresh, f"{gen}/{name}", meta["next_id"])
-        self._commit(**{k: v for k, v in meta.items() if k != "version"} | {"segments": [*meta["segments"], name], "dead": [*meta["dead"], dead], "next_id": nxt, "swept": meta["swept"] if under or not whole else time.time()})
-        if not under and whole:
-            sizes = [self.spark.read.parquet(f"{gen}/{s}/stats").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0] for s in (*meta["segments"], name)]
-            if sum(sizes[1:]) > COMPACT * sizes[0]:
-                return self.build(corpus)
+        name = f"{name}-{time.time_ns()}"
+        nxt, always, total = self._write(fresh, f"{gen}/{name}", meta["next_id"])
+        new = {"segments": [*meta["segments"], name], "sizes": [*meta["sizes"], total], "always": meta["always"] + always, "dead": [*meta["dead"], dead], "next_id": nxt, "swept": swept}
+        self._commit(meta, **{k: v for k, v in meta.items() if k not in ("version", "serial")} | new)
+        self.extras = self.gone = None
+        if not under and whole and sum(new["sizes"][1:]) > COMPACT * new["sizes"][0]:
+            return self._build(corpus)
         return self
 
     def status(self) -> DataFrame:
+        """One row: files, skipped (binary, oversized, to be transcoded) and the second of the last sweep."""
         skip = F.col("too_large") | F.col("transcode") | F.col("is_binary")
-        return self.manifest().agg(F.count("*").alias("files"), F.coalesce(F.sum(skip.cast("long")), F.lit(0)).alias("skipped"))
-
-    def candidates(self, groups: list[list[list[int]]] | None, binary: bool = False, rarest: int = 8) -> DataFrame:
-        """(path) of the live files that may match a plan."""
+        counted = self.manifest().agg(F.count("*").alias("files"), F.coalesce(F.sum(skip.cast("long")), F.lit(0)).alias("skipped"))
+        return counted.withColumn("last_sweep", F.lit(int(self.meta()["swept"])))
+
+    def has_files_under(self, folder: str) -> bool:
+        """Whether any live file is at or below a path."""
+        return not self.manifest().where(_inside(folder)).isEmpty()
+
+    def binary_files(self) -> DataFrame:
+        """(path) of the live files with a NUL."""
+        return self.manifest().where("is_binary or nul_late").select("path")
+
+    def _frequencies(self, wanted: list[int]) -> dict[int, int]:
+        """Files that have each of some trigrams (a number that the planner bounds), without a job."""
+        meta, df = self.meta(), dict.fromkeys(wanted, 0)
+        for s in meta["segments"]:
+            table = pads.dataset(f"{self.local}/{meta['generation']}/{s}/stats", filesystem=self.fs, format="parquet")
+            for row in table.to_table(filter=pads.field("tri").isin(wanted)).to_pylist():
+                df[row["tri"]] += row["df"]
+        return df
+
+    def candidates(self, groups: list[list[list[int]]] | None, binary: bool = False, rarest: int = 4, zipped: bool = False) -> DataFrame:
+        """(path) of the live files that may match a plan, and of those that are searched always."""
+        if self.no_index:
+            raise LookupError("there is no index yet: all files are candidates")
         live = self.manifest()
-        always = F.col("too_large") | F.col("transcode") | F.col("nul_late") | (F.col("is_binary") if binary else F.lit(False))
         if groups is None:
-            return live.where("not is_binary" if not binary else "true").select("path")
-        ids = narrowed(self.postings(), groups, self._all("stats").groupBy("tri").agg(F.sum("df").alias("df")), rarest)
-        return live.join(ids, "file_id", "left_semi").select("path").union(live.where(always).select("path")).distinct()
-
-
-def narrowed(tri_postings: DataFrame, groups: list[list[list[int]]], stats: DataFrame | None = None, rarest: int = 8) -> DataFrame:
+            out = live.where("not is_binary" if not binary else "true").select("path")
+        else:
+            meta, wanted = self.meta(), sorted({s for g in groups for t in g for s in t})
+            ids = narrowed(self.postings(), groups, self._frequencies(wanted), rarest)
+            out = live.join(ids, "file_id", "left_semi").select("path")
+            always = F.col("too_large") | F.col("transcode") | F.col("nul_late") | (F.col("is_binary") if binary else F.lit(False))
+            always |= F.col("path").endswith(".gz") if zipped else F.lit(False)
+            if meta["always"] or zipped:
+                out = out.union(live.where(always).select("path")).distinct()
+        if self.extras is not None:
+            out = out.union(self.extras).distinct().join(self.gone, "path", "left_anti")
+        return out
+
+
+def _inside(folder: str) -> Column:
+    folder = folder.strip("/")
+    return F.lit(True) if folder in ("", ".") else F.col("path").startswith(folder + "/") | (F.col("path") == folder)
+
+
+def narrowed(tri_postings: DataFrame, groups: list[list[list[int]]], df: dict[int, int] | None = None, rarest: int = 4) -> DataFrame:
     """(file_id) that have, for some group, a spelling of each of its trigrams.
 
     Of a group only the ``rarest`` trigrams are looked up (fewer conditions only
-    widen the candidates); a trigram that no file has ends its group.
+    widen the candidates); a trigram that no file has ends its group. One
+    grouping by file tells which trigrams of the plan it has.
     """
-    spark = tri_postings.sparkSession
-    wanted = sorted({s for g in groups for t in g for s in t})
-    if stats is not None and wanted:
-        # At most the plan's trigrams come back, a number that the planner bounds.
-        df = {r.tri: r.df for r in stats.where(F.col("tri").isin(wanted)).collect()}
+    if df is not None:
         cost = lambda t: sum(df.get(s, 0) for s in t)
         groups = [sorted(g, key=cost)[:rarest] for g in groups if all(map(cost, g))]
-    rows = [(k, j, s) for k, g in enumerate(groups) for j, t in enumerate(g) for s in t]
-    need = spark.createDataFrame([(k, len(g)) for k, g in enumerate(groups)] or [], "gid int, n int")
-    plan = spark.createDataFrame(rows, "gid int, req int, tri int")
-    used = sorted({r[2] for r in rows})
-    hits = tri_postings.where(F.col("tri").isin(used) if used else F.lit(False)).join(F.broadcast(plan), "tri")
-    have = hits.groupBy("gid", "file_id").agg(F.count_distinct("req").alias("have")).join(F.broadcast(need), "gid")
-    return have.where("have = n").select("file_id").distinct()
+    needs = sorted({tuple(t) for g in groups for t in g})
+    used = sorted({s for t in needs for s in t})
+    if not groups:
+        return tri_postings.where(F.lit(False)).select("file_id")
+    hits = tri_postings.where(F.col("tri").isin(used))
+    if len(groups) == 1 and all(len(t) == 1 for t in needs):  # a posting is there once
+        return hits.groupBy("file_id").agg(F.count("*").alias("n")).where(F.col("n") == len(needs)).select("file_id")
+    # Many needs are told by the bits of a few integers.
+    word = {t: divmod(k, 62) for k, t in enumerate(needs)}
+    words = -(-len(needs) // 62)
+    masks: dict[int, list[int]] = {s: [0] * words for s in used}
+    for t in needs:
+        for s in t:
+            masks[s][word[t][0]] |= 1 << word[t][1]
+    names = [f"m{w}" for w in range(words)]
+    table = tri_postings.sparkSession.createDataFrame([(s, *m) for s, m in masks.items()], ", ".join(["tri int", *(f"{n} long" for n in names)]))
+    have = hits.join(F.broadcast(table), "tri").groupBy("file_id").agg(*[F.bit_or(n).alias(n) for n in names])
+    ok = []
+    for g in groups:
+        all_of: dict[int, int] = {}
+        for t in g:
+            w, b = word[tuple(t)]
+            all_of[w] = all_of.get(w, 0) | 1 << b
+        ok.append(reduce(Column.__and__, [F.col(f"m{w}").bitwiseAND(F.lit(b)) == F.lit(b) for w, b in all_of.items()]))
+    return have.where(reduce(Column.__or__, ok)).select("file_id")
 
 
 def freshness(corpus: DataFrame, live: DataFrame) -> DataFrame:

@@ -5,39 +5,82 @@ A corpus is a DataFrame (path, content, ...); all here are lazy DataFrames.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seine.plans import regex
 
+_BLANK = "^[ \\t\\r\\n\\f\\x0b]+"
+
 
 def _by_file() -> Window:
     return Window.partitionBy("path").orderBy("line_no")
 
 
-def lines(corpus: DataFrame, terminator: str = "lf") -> DataFrame:
-    """(path, line_no, line): from 1; a last terminator makes no line, an empty file has none.
+def terminator_of(name: str) -> str:
+    return "\x00" if name == "nul" else "\n"
+
+
+def split_lines(content: Column, terminator: str = "lf") -> Column:
+    """The array of a content's lines, without their ends: a last terminator makes no line."""
+    end = terminator_of(terminator)
+    parts = F.split(F.regexp_replace(content, f"(?s){end}\\z", ""), end, -1)
+    return F.transform(parts, lambda x: F.regexp_replace(x, "\\r\\z", "")) if terminator == "crlf" else parts
+
+
+def lines(corpus: DataFrame, terminator: str = "lf", ends: bool = False) -> DataFrame:
+    """(path, line_no, line): from 1; an empty file has none.
 
-    ``lf`` splits at line feeds, ``crlf`` takes a carriage return before them off, ``nul`` splits at NULs.
+    ``lf`` splits at line feeds, ``crlf`` takes a carriage return before them
+    (or at the end) off, ``nul`` splits at NULs. With ``ends`` there is ``eol``,
+    what ends the line in its file ("" for a last line without a terminator).
     """
-    end = "\x00" if terminator == "nul" else "\n"
-    body = F.regexp_replace("content", f"(?s){end}\\z", "")
-    parts = F.split(body, "\r?\n" if terminator == "crlf" else end, -1)
-    return corpus.where(F.col("content") != "").select("path", F.posexplode(parts).alias("n", "line")).select("path", (F.col("n") + 1).cast("long").alias("line_no"), "line")
+    some = corpus.where(F.col("content") != "")
+    number = (F.col("n") + 1).cast("long").alias("line_no")
+    if not ends:
+        return some.select("path", F.posexplode(split_lines(F.col("content"), terminator)).alias("n", "line")).select("path", number, "line")
+    end = terminator_of(terminator)
+    raw = some.select("path", F.posexplode(split_lines(F.col("content"))).alias("n", "line"), F.col("content").endswith(end).alias("closed"), F.size(split_lines(F.col("content"))).alias("all"))
+    if terminator == "nul":
+        raw = some.select("path", F.posexplode(split_lines(F.col("content"), "nul")).alias("n", "line"), F.col("content").endswith(end).alias("closed"), F.size(split_lines(F.col("content"), "nul")).alias("all"))
+    eol = F.when(F.col("closed") | (F.col("n") + 1 < F.col("all")), F.lit(end)).otherwise("")
+    line = F.col("line")
+    if terminator == "crlf":
+        cr = line.endswith("\r")
+        eol, line = F.concat(F.when(cr, "\r").otherwise(""), eol), F.regexp_replace(line, "\\r\\z", "")
+    return raw.select("path", number, line.alias("line"), eol.alias("eol"))
+
+
+def holding(corpus: DataFrame, pattern: str, **options) -> DataFrame:
+    """Files that may have a match: those with a literal that every match holds.
+
+    A cheap test of whole contents, so that other files never become lines.
+    """
+    if options.get("ignore_case"):
+        return corpus
+    literals = regex.required_literals(pattern, bool(options.get("fixed")), pcre=True)
+    if not literals:
+        return corpus
+    return corpus.where(reduce(Column.__or__, [F.col("content").contains(x) for x in literals]))
 
 
-def with_offsets(rows: DataFrame, terminator_bytes: int = 1) -> DataFrame:
-    """``byte_offset`` of each line in its file (all of its lines have to be there)."""
+def with_offsets(rows: DataFrame) -> DataFrame:
+    """``byte_offset`` of each line in its file (all of its lines have to be there); lines end in ``eol``, or else in one byte."""
     before = _by_file().rowsBetween(Window.unboundedPreceding, -1)
-    size = F.octet_length("line") + terminator_bytes
+    size = F.octet_length("line") + (F.octet_length("eol") if "eol" in rows.columns else F.lit(1))
     return rows.withColumn("byte_offset", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long"))
 
 
+def plain(options: dict) -> bool:
+    """Whether a fixed string is a plain containment."""
+    return bool(options.get("fixed")) and not any(options.get(k) for k in ("ignore_case", "word", "line"))
+
+
 def matching(column: Column, pattern: str, **options) -> Column:
-    """Whether a line matches. A fixed string that minds case is a plain containment."""
-    if options.get("fixed") and not any(options.get(k) for k in ("ignore_case", "word", "line")):
-        return column.contains(pattern)
-    return column.rlike(regex.java(pattern, **options))
+    """Whether a line matches."""
+    return column.contains(pattern) if plain(options) else column.rlike(regex.java(pattern, **options))
 
 
 def marked(rows: DataFrame, pattern: str, invert: bool = False, **options) -> DataFrame:
@@ -78,10 +121,52 @@ def grouped(c: DataFrame) -> DataFrame:
     return c.withColumn("_new", new).withColumn("grp", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def pieces(pattern: str, **options) -> Column:
+    """Every match of a line in order: (start, end, match), byte offsets in the line.
+
+    What lies between matches alternates with them, so one pass adds up the
+    lengths. An empty match right after a match is none.
+    """
+    java = regex.java(pattern, **options)
+    found, between = F.regexp_extract_all("line", F.lit(java), F.lit(0)), F.split("line", java, -1)
+    if not options.get("fixed") and regex.can_match_empty(pattern):
+        return _empty_pieces(java, found)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("all"))
+
+    def add(acc: Column, pair: Column) -> Column:
+        lo = acc["at"] + F.octet_length(pair["b"])
+        hi = lo + F.octet_length(pair["f"])
+        one = F.struct(lo.cast("int").alias("start"), hi.cast("int").alias("end"), pair["f"].alias("match"))
+        return F.struct(hi.cast("int").alias("at"), F.concat(acc["all"], F.array(one)).alias("all"))
+
+    pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("b"), found.alias("f"))
+    return F.aggregate(pairs, start, add, lambda acc: acc["all"])
+
+
+def _empty_pieces(java: str, found: Column) -> Column:
+    """As ``pieces`` where matches may be empty: the line is walked match by match."""
+    start = F.struct(
+        F.lit(0).alias("chars"), F.lit(0).alias("last"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("all")
+    )
+
+    def add(acc: Column, m: Column) -> Column:
+        # The next match of a non-empty one begins where its text is next; of an empty one, where the walk stands.
+        at = F.when(m == "", acc["chars"]).otherwise(F.call_function("locate", m, F.col("line"), acc["chars"] + 1) - 1)
+        lo = F.octet_length(F.substring(F.col("line"), F.lit(1), at))
+        one = F.struct(lo.cast("int").alias("start"), (lo + F.octet_length(m)).cast("int").alias("end"), m.alias("match"))
+        touching = (m == "") & (acc["last"] == 1)
+        return F.struct(
+            (at + F.when(m == "", F.lit(1)).otherwise(F.length(m))).cast("int").alias("chars"), F.when(m == "", 0).otherwise(1).alias("last"), F.when(touching, acc["all"]).otherwise(F.concat(acc["all"], F.array(one))).alias("all")
+        )
+
+    return F.aggregate(found, start, add, lambda acc: acc["all"])
+
+
 def occurrences(rows: DataFrame, pattern: str, **options) -> DataFrame:
     """(path, line_no, n, match): one row for every non-empty match, in order from 1."""
     found = F.regexp_extract_all("line", F.lit(regex.java(pattern, **options)), F.lit(0))
-    return rows.where(matching(F.col("line"), pattern, **options)).select("path", "line_no", F.posexplode(found).alias("n", "match")).where("match <> ''").withColumn("n", F.col("n") + 1)
+    hit = rows.where(matching(F.col("line"), pattern, **options))
+    return hit.select("path", "line_no", F.posexplode(found).alias("n", "match")).where("match <> ''").withColumn("n", F.col("n") + 1)
 
 
 def count_column(pattern: str, **options) -> Column:
@@ -103,28 +188,27 @@ def column(pattern: str, **options) -> Column:
 
 def vimgrep(rows: DataFrame, pattern: str, **options) -> DataFrame:
     """One row for every match with its byte column."""
-    java = regex.java(pattern, **options)
-    pieces = F.split("line", java, -1)
-    found = F.regexp_extract_all("line", F.lit(java), F.lit(0))
-    starts = F.transform(found, lambda _, i: F.aggregate(F.sequence(F.lit(0), i), F.lit(0), lambda acc, k: acc + F.octet_length(F.get(pieces, k)) + F.when(k < i, F.octet_length(F.get(found, k))).otherwise(0)))
-    return rows.where(matching(F.col("line"), pattern, **options)).select("path", "line_no", F.explode(starts).alias("at"), "line").select("path", "line_no", (F.col("at") + 1).alias("col"), "line")
+    hit = rows.where(matching(F.col("line"), pattern, **options))
+    return hit.select("path", "line_no", F.explode(pieces(pattern, **options)).alias("x"), "line").select("path", "line_no", (F.col("x.start") + 1).alias("col"), "line")
 
 
-def replaced(pattern: str, replacement: str, **options) -> Column:
+def replaced(pattern: str, replacement: str, of: str = "line", **options) -> Column:
     """The line with every match replaced; ``$1``, ``${name}`` and ``$0`` refer to groups."""
-    return F.regexp_replace("line", regex.java(pattern, **options), replacement)
+    to = regex.replacement(replacement, pattern, bool(options.get("fixed")), pcre=True)
+    return F.regexp_replace(of, regex.java(pattern, **options), to)
 
 
-def limited(n: int, preview: bool = False) -> Column:
+def limited(n: int, preview: bool = False, line: Column | None = None) -> Column:
     """Lines of more than ``n`` bytes give a note (0: no limit)."""
+    line = F.col("line") if line is None else line
     if not n:
-        return F.col("line")
-    note = F.concat(F.substring("line", 1, n), F.lit(" [... omitted end of long line]")) if preview else F.lit("[Omitted long matching line]")
-    return F.when(F.octet_length("line") > n, note).otherwise(F.col("line"))
+        return line
+    note = F.concat(F.substring(line, 1, n), F.lit(" [... omitted end of long line]")) if preview else F.lit("[Omitted long matching line]")
+    return F.when(F.octet_length(line) > n, note).otherwise(line)
 
 
-def trimmed() -> Column:
-    return F.regexp_replace("line", "^[ \\t\\r\\n\\f\\x0b]+", "")
+def trimmed(line: Column | None = None) -> Column:
+    return F.regexp_replace(F.col("line") if line is None else line, _BLANK, "")
 
 
 def multiline(corpus: DataFrame, pattern: str, dotall: bool = False, **options) -> DataFrame:
@@ -138,14 +222,24 @@ def multiline_lines(corpus: DataFrame, pattern: str, dotall: bool = False, **opt
     """(path, line_no, line): every line that a spanning match covers.
 
     A match's lines follow from the line feeds before and in it, so no offsets
-    are joined: pieces between matches alternate with the matches.
+    are joined: pieces between matches alternate with the matches, and one pass
+    over them counts the feeds. A row takes with it its own line alone.
     """
     java = regex.java(pattern, dotall=dotall, **options)
     feeds = lambda c: F.octet_length(c) - F.octet_length(F.replace(c, F.lit("\n"), F.lit("")))
     c = corpus.where(F.col("content").rlike(java))
-    pieces, found = F.split("content", java, -1), F.regexp_extract_all("content", F.lit(java), F.lit(0))
-    before = lambda i: F.aggregate(F.sequence(F.lit(0), i), F.lit(0), lambda acc, k: acc + feeds(F.get(pieces, k)) + F.when(k < i, feeds(F.get(found, k))).otherwise(0))
-    spans = F.transform(found, lambda m, i: F.struct((before(i) + 1).alias("a"), (before(i) + 1 + feeds(F.regexp_replace(m, "(?s)\n\\z", ""))).alias("b")))
+    found = F.regexp_extract_all("content", F.lit(java), F.lit(0))
+    between = F.slice(F.split("content", java, -1), F.lit(1), F.size(found))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("all"))
+
+    def add(acc: Column, pair: Column) -> Column:
+        low = acc["at"] + feeds(pair["b"])
+        span = F.struct((low + 1).cast("int").alias("a"), (low + 1 + feeds(F.regexp_replace(pair["f"], "(?s)\n\\z", ""))).cast("int").alias("b"))
+        return F.struct((low + feeds(pair["f"])).cast("int").alias("at"), F.concat(acc["all"], F.array(span)).alias("all"))
+
+    spans = F.aggregate(F.arrays_zip(between.alias("b"), found.alias("f")), start, add, lambda acc: acc["all"])
     covered = F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["a"], s["b"]))))
-    body = F.split(F.regexp_replace("content", "(?s)\n\\z", ""), "\n", -1)
-    return c.select("path", F.explode(covered).alias("line_no"), body.alias("all")).where("line_no <= size(all)").select("path", "line_no", F.get("all", F.col("line_no") - 1).alias("line"))
+    body = split_lines(F.col("content"))
+    held = c.select("path", covered.alias("covered"), body.alias("body"))
+    own = F.transform("covered", lambda n: F.struct(n.cast("long").alias("line_no"), F.get("body", n - 1).alias("line")))
+    return held.select("path", F.inline(own)).where("line is not null")

@@ -14,48 +14,95 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seine.functions.paths import Rule
+from seine.spec import SOURCES, SearchSpec
 
-IGNORE_FILES = (".gitignore", ".ignore", ".rgignore")  # later ones win
+#: Ignore files of a folder by source; of one folder the later file wins.
+IGNORE_FILES = {"vcs": (".gitignore",), "dot": (".ignore", ".rgignore")}
 SKIP = (".git", ".seine")
-FILES = "path string, mtime long, size long, hidden boolean"
+FILES = "path string, mtime long, atime long, ctime long, size long, hidden boolean"
+_TYPES = [pa.string(), *[pa.int64()] * 4, pa.bool_()]
+#: (what to put before a path, rule): later ones win.
+Rules = list[tuple[str, Rule]]
 
 
-def _rules(folder: str, base: str, names: tuple[str, ...]) -> list[Rule]:
-    out = []
-    for name in names:
-        try:
-            with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as f:
-                out += [r for line in f if (r := Rule.parse(line, base))]
-        except OSError:
-            pass
-    return out
+def _read(file: str, base: str = "", fold: bool = False) -> list[Rule]:
+    try:
+        with open(file, encoding="utf-8", errors="replace") as f:
+            return [r for line in f if (r := Rule.parse(line, base, fold))]
+    except OSError:
+        return []
+
+
+def _rules(folder: str, base: str, sources: frozenset[str]) -> Rules:
+    names = [n for source, some in IGNORE_FILES.items() if source in sources for n in some]
+    return [("", r) for n in names for r in _read(os.path.join(folder, n), base)]
 
 
-def _drops(rules: list[Rule], path: str, is_dir: bool) -> bool | None:
-    for r in reversed(rules):
-        if (is_dir or not r.only_dirs) and re.search(r.regex, path):
+def _above(root: str) -> Rules:
+    """Rules of the ``.ignore`` files of the folders that hold the root, outermost first."""
+    out: Rules = []
+    at, under = os.path.dirname(os.path.abspath(root)), os.path.basename(os.path.abspath(root)) + "/"
+    while True:
+        out = [(under, r) for n in IGNORE_FILES["dot"] for r in _read(os.path.join(at, n))] + out
+        if os.path.dirname(at) == at:
+            return out
+        at, under = os.path.dirname(at), os.path.basename(at) + "/" + under
+
+
+def _drops(rules: Rules, path: str, is_dir: bool) -> bool | None:
+    for before, r in reversed(rules):
+        if (is_dir or not r.only_dirs) and re.search(r.regex, before + path):
             return not r.negated
     return None
 
 
-def walk(root: str, below: str = "", ignore: bool = True, hidden: bool = True, follow: bool = False, max_depth: int | None = None, names: tuple[str, ...] = IGNORE_FILES, named: bool = False) -> Iterator[tuple[str, int, int, bool]]:
-    """(path, mtime in ns, size, hidden) of files, in component order.
+def toggles(spec: SearchSpec) -> dict:
+    """The options of a sweep that a specification asks for."""
+    return {
+        "sources": spec.ignore, "files": spec.ignore_files, "fold": spec.ignore_files_fold, "require_git": spec.require_git,
+        "follow": spec.follow, "one_file_system": spec.one_file_system,
+    }
+
+
+def walk(
+    root: str, below: str = "", ignore: bool = True, hidden: bool = True, follow: bool = False, max_depth: int | None = None, named: bool = False,
+    sources: frozenset[str] = frozenset(SOURCES), files: tuple[str, ...] = (), fold: bool = False, require_git: bool = False, one_file_system: bool = False, stat: bool = True,
+) -> Iterator[tuple[str, int, int, int, int, bool]]:
+    """(path, mtime, atime and ctime in ns, size, hidden) of files, in component order.
 
-    Rules of ancestors hold for a scope; a deeper rule wins, and of one folder
-    the later file. A rule that keeps a hidden name shows it, as does a scope
-    that was ``named`` on purpose.
+    Rules of ancestors hold for a scope; a deeper rule wins, of one folder the
+    later file, and any of them over the named ignore ``files``. A rule that
+    keeps a hidden name shows it, as does a scope that was ``named`` on purpose.
+    Without ``stat`` times and sizes are 0, and files are not touched.
     """
-    rules: list[Rule] = _rules(root, "", names) if ignore else []
+    if not ignore:
+        sources, files = frozenset(), ()
+    if require_git and not os.path.exists(os.path.join(root, ".git")):
+        sources = sources - {"vcs", "exclude", "global"}
+    rules: Rules = [("", r) for f in files for r in _read(os.path.join(root, f), "", fold)]
+    if "global" in sources:
+        home = os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config")
+        rules += [("", r) for r in _read(os.path.join(home, "git", "ignore"))]
+    if "exclude" in sources:
+        rules += [("", r) for r in _read(os.path.join(root, ".git", "info", "exclude"))]
+    if {"parent", "dot"} <= sources:
+        rules += _above(root)
+    rules += _rules(root, "", sources)
+    device = os.stat(root).st_dev if one_file_system else None
     at, dotted = "", False
+    if below and os.path.isfile(os.path.join(root, below)):
+        s = os.stat(os.path.join(root, below))
+        yield below, s.st_mtime_ns, s.st_atime_ns, s.st_ctime_ns, s.st_size, False
+        return
     for p in filter(None, below.split("/")):
         at = f"{at}/{p}".lstrip("/")
-        said = _drops(rules, at, True) if ignore else None
+        said = _drops(rules, at, True)
         dotted |= p.startswith(".") and said is not False and not named
-        if said or (dotted and not hidden):
+        if (said and not (named and at == below)) or (dotted and not hidden):
             return
-        rules = rules + (_rules(os.path.join(root, at), at, names) if ignore else [])
+        rules = rules + _rules(os.path.join(root, at), at, sources)
 
-    def inner(rel: str, rules: list[Rule], is_hidden: bool, depth: int) -> Iterator[tuple[str, int, int, bool]]:
+    def inner(rel: str, rules: Rules, is_hidden: bool, depth: int) -> Iterator[tuple[str, int, int, int, int, bool]]:
         try:
             entries = sorted(os.scandir(os.path.join(root, rel)), key=lambda e: e.name)
         except OSError:
@@ -65,16 +112,20 @@ def walk(root: str, below: str = "", ignore: bool = True, hidden: bool = True, f
             is_dir = e.is_dir(follow_symlinks=follow)
             if e.name in SKIP or (e.is_symlink() and not follow):
                 continue
-            said = _drops(rules, path, is_dir) if ignore else None
+            said = _drops(rules, path, is_dir)
             dot = is_hidden or (e.name.startswith(".") and said is not False)
             if said or (dot and not hidden):
                 continue
             if is_dir:
-                if max_depth is None or depth < max_depth:
-                    yield from inner(path, rules + (_rules(e.path, path, names) if ignore else []), dot, depth + 1)
+                other = device is not None and e.stat(follow_symlinks=follow).st_dev != device
+                if not other and (max_depth is None or depth < max_depth):
+                    yield from inner(path, rules + _rules(e.path, path, sources), dot, depth + 1)
             elif e.is_file(follow_symlinks=follow):
+                if not stat:
+                    yield path, 0, 0, 0, 0, dot
+                    continue
                 s = e.stat()
-                yield path, s.st_mtime_ns, s.st_size, dot
+                yield path, s.st_mtime_ns, s.st_atime_ns, s.st_ctime_ns, s.st_size, dot
 
     yield from inner(at, rules, dotted, 1 + at.count("/") + bool(at))
 
@@ -88,8 +139,8 @@ def sweep(spark: SparkSession, root: str, below: list[str] | None = None, **opti
         for batch in batches:
             for scope, top in zip(batch.column("scope").to_pylist(), batch.column("top").to_pylist()):
                 rows = walk(root, scope, **(options | ({"max_depth": 1} if top else {"named": bool(below)})))
-                columns = list(zip(*rows)) or [(), (), (), ()]
-                yield pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.bool_())], names=["path", "mtime", "size", "hidden"])
+                columns = list(zip(*rows)) or [()] * len(_TYPES)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=["path", "mtime", "atime", "ctime", "size", "hidden"])
 
     table = spark.createDataFrame([(k, s, t) for k, (s, t) in enumerate(scopes)], "k int, scope string, top boolean")
     return table.repartitionById(len(scopes), "k").select("scope", "top").mapInArrow(run, FILES).dropDuplicates(["path"])
@@ -120,7 +171,7 @@ def with_content(files: DataFrame, root: str, unzip: bool = False, pre: list[str
             for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
                 if raw.startswith(mark):
                     return raw[len(mark) :].decode(name, "replace")
-        return raw.decode("utf-8", "replace")
+        return raw.decode("utf-8", "replace")  # a file that can't be read has no content and is left out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

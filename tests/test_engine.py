@@ -1,6 +1,7 @@
 """Units and whole searches over small corpora."""
 
 import gzip
+import json
 import os
 import random
 import re
@@ -14,7 +15,7 @@ from seine.operators import modes as M
 from seine.operators.search import run
 from seine.plans import regex as R
 from seine.sources import tree
-from seine.spec import SearchSpec, UsageError, from_tool_request, parse_argv
+from seine.spec import UsageError, from_tool_request, parse_argv
 
 FILES = {
     "src/main.rs": "use std::io;\nfn main() {\n    print(hello);\n}\n",
@@ -69,7 +70,11 @@ def test_searches(corpus):
     assert out(corpus, "--sortr", "modified", "foo", "-l") == ["gap.txt", "case.txt", "words.txt", "README.md"]
     assert "empty.txt" in out(corpus, "--files-without-match", "foo")
     assert out(corpus, "-e", "baz", "-e", "x4") == ["README.md:3:foo bar baz", "gap.txt:5:x4"]
-    assert len(out(corpus, "--json", "baz")) == 3
+    events = [json.loads(x) for x in out(corpus, "--json", "-A1", "foo b", "words.txt")]
+    assert [e["type"] for e in events] == ["begin", "match", "context", "end", "summary"]
+    assert events[1]["data"]["submatches"] == [{"match": {"text": "foo b"}, "start": 0, "end": 5}] and events[1]["data"]["absolute_offset"] == 10
+    assert events[2]["data"]["lines"]["text"] == "xfooy\n" and events[2]["data"]["submatches"] == []
+    assert events[4]["data"]["stats"]["matched_lines"] == 1 and events[3]["data"]["binary_offset"] is None
     assert run(corpus, parse_argv(["nothing"])).exit_code() == 1 and run(corpus, parse_argv(["foo"])).exit_code() == 0
     with pytest.raises(R.RegexError):
         run(corpus, parse_argv(["a(?=b)"]))
@@ -85,11 +90,16 @@ def test_empty_matches(spark):
 
 
 def test_argv():
+    assert parse_argv(["-u", "x"]).ignore == frozenset() and parse_argv(["--no-ignore-vcs", "x"]).ignore == {"dot", "parent"}
+    assert parse_argv(["--no-ignore", "--ignore-dot", "x"]).ignore == {"dot"} and parse_argv(["-uuu", "--no-hidden", "x"]).hidden is False
+    assert parse_argv(["--engine=auto", "a(?=b)"]).pcre and not parse_argv(["--engine", "auto", "ab"]).pcre
+    assert parse_argv(["-a", "--binary", "x"]).binary == "convert" and parse_argv(["-U", "--stop-on-nonmatch", "x"]).multiline is False
+    assert parse_argv(["--max-filesize=2K", "--context-separator", r"\x41\t", "x"]).group_separator == "A\t"
     s = parse_argv(["-iS", "-s", "-A2", "--context=1", "-uu", "foo", "a/", "./b"])
     assert (s.case, s.after, s.before, s.hidden, s.patterns, s.operands) == ("sensitive", 2, 1, True, ("foo",), ("a", "b"))
     assert parse_argv(["-l", "-c", "x"]).mode == "count" and parse_argv(["-co", "x"]).mode == "count_matches"
     assert parse_argv(["--", "-x"]).patterns == ("-x",)
-    for bad in (["--nope", "x"], ["-A", "q", "x"], [], ["-e"]):
+    for bad in (["--sort", "bogus", "x"], ["--engine", "x", "y"], ["--max-filesize", "3X", "y"], ["-E", "no-such", "y"], ["--max-columns-preview", "x"], ["--nope", "x"], ["-A", "q", "x"], [], ["-e"]):
         with pytest.raises(UsageError):
             parse_argv(bad)
     t = from_tool_request({"pattern": "x", "output_mode": "content", "-i": True, "-C": 2, "head_limit": 3, "glob": "*.py"})
@@ -103,20 +113,35 @@ def tris(pattern, **o):
 
 def test_plans():
     assert tris("hello", fixed=True) == [{"hel", "ell", "llo"}]
-    assert sorted(map(sorted, tris("foobar|bazqux"))) == [["aba", "azq", "baz", "qux", "zqu"]] or len(tris("foobar|bazqux")) == 2
+    assert sorted(map(sorted, tris("foobar|bazqux"))) == [["azq", "baz", "qux", "zqu"], ["bar", "foo", "oba", "oob"]]
+    for p in ("(?x)foo bar", "(?x: a b c ) d", "(?ix)FOO # no literal"):
+        assert tris(p) is None, p
     for p in (".*", "a", "x?yz", "(foo|.*)bar?", "[0-9][0-9]", "a|bcd"):
         assert tris(p) is None, p
     assert tris("needle.*") == [{"nee", "eed", "edl", "dle"}] and tris(r"abc\w+def") == [{"abc", "def"}]
-    assert tris("xa[bc]d") == [{"xab", "abd"}, {"xac", "acd"}] or len(tris("xa[bc]d")) == 2
+    assert sorted(map(sorted, tris("xa[bc]d"))) == [["abd", "xab"], ["acd", "xac"]]
+    assert len(tris("ab[a-z0-9]")) == 36 and len(R.plan("kfr", ignore_case=True)[0][0]) == 9
     assert "bab" in tris("x(ab){2}y")[0] and tris("(?:a.){300}") is None
     with pytest.raises(R.RegexError):
         R.plan("[")
-    assert len(R.spellings(int.from_bytes(b"a1b", "big"))) == 4 and R.plan("kss", ignore_case=True) is None
+    assert len(R.spellings(int.from_bytes(b"a1b", "big"))) == 4 and R.plan("kss", ignore_case=True) is not None
+    # Every spelling that folds alike has a variant of every trigram.
+    for text in ("Kiss", "kIs\u017f", "\u212aISS", "ki\u017f\u017f"):
+        have = R.trigrams(text.encode())
+        assert all(any(s in have for s in t) for t in R.plan("kiss", ignore_case=True)[0]), text
+    for text in ("naïveté", "NAÏVETÉ"):
+        have = R.trigrams(text.encode())
+        assert all(any(s in have for s in t) for t in R.plan("Naïveté", ignore_case=True)[0]), text
+
+
+def test_replacements():
+    assert R.replacement("${1}x$2 $1x \\n$$", "(a)(b)") == "$1x$2  \\\\n\\$" and R.replacement("$1", "a") == "" and R.replacement("${1}0", "(a)") == "$1\\0"
+    assert R.replacement("$n-${n}", "(?P<n>a)") == "${n}-${n}" and R.replacement("$0", "a", fixed=True) == "$0"
 
 
 def test_plans_are_sound():
     rng = random.Random(7)
-    atoms = ["abc", "bca", "a", "b", "[ab]c", "(?:ab|ca)b", "c+", "a?", ".", "(?i)abC", "(ab){2}", "(?:bc|abca)", r"\w", "^", "$", "a{2,3}"]
+    atoms = ["abc", "bca", "a", "b", "[ab]c", "(?:ab|ca)b", "c+", "a?", ".", "(?i)abC", "(ab){2}", "(?:bc|abca)", r"\w", "^", "$", "a{2,3}", "(?x: a b c )", "(?i:bC)"]
     texts = ["".join(rng.choice("abcABC") for _ in range(rng.randrange(1, 14))) for _ in range(300)]
     for _ in range(400):
         p = "".join(rng.choice(atoms) for _ in range(rng.randrange(1, 5)))
@@ -125,6 +150,8 @@ def test_plans_are_sound():
         fold = rng.random() < 0.4
         groups = R.plan(p, ignore_case=fold)
         python = re.compile(re.sub(r"\(\?i\)", "", p), re.I if fold or "(?i)" in p else 0)
+        literals = None if fold or "(?i" in p else R.required_literals(p)
+        assert literals is None or all(any(x in t for x in literals) for t in texts if python.search(t)), p
         for t in texts if groups is not None else ():
             if python.search(t):
                 have = R.trigrams(t.encode())
@@ -158,6 +185,34 @@ def test_index_lifecycle(spark, corpus, tmp_path):
     assert index.status().first().files == len(changed) == index.manifest().select("file_id").distinct().count()
     one = I.Index(spark, str(tmp_path / "y")).build(now.limit(1))
     assert one.meta()["next_id"] == 1
+    assert index.has_files_under("src") and not index.has_files_under("nowhere") and [r.path for r in index.binary_files().collect()] == ["nul.bin"]
+    # A writer at work: others answer from the index and from what is new, and write nothing.
+    with index.lock():
+        with pytest.raises(I.Busy):
+            I.Index(spark, index.path).update(now)
+        later = now.where("path <> 'gap.txt'").union(spark.createDataFrame([("later.txt", "goodbye foo\n", 3, 12)], corpus.schema))
+        other = I.Index(spark, index.path).open(later)
+        assert {r.path for r in other.candidates(R.plan("goodbye")).collect()} == {"words.txt", "new.txt", "later.txt"}
+        assert "gap.txt" not in {r.path for r in other.candidates(R.plan("foo")).collect()}
+        none = I.Index(spark, str(tmp_path / "z"))
+        with none.lock():
+            assert I.Index(spark, none.path).open(now).no_index
+            assert run(now, parse_argv(["goodbye", "-l"]), index=I.Index(spark, none.path).open(now)).lines() == run(now, parse_argv(["goodbye", "-l"])).lines()
+    assert not (tmp_path / "x" / "lock").exists()
+    beside = one.open_later(now), I.Index(spark, str(tmp_path / "w"))
+    thread = beside[1].open_later(now, least_bytes=1)
+    assert beside[0] is None and beside[1].no_index
+    thread.join()
+    assert I.Index(spark, beside[1].path).open(now).status().first().files == len(changed)
+
+
+def test_index_equals_scan(spark, corpus, tmp_path):
+    """Searches of many kinds give the same records with the index and without."""
+    index = I.Index(spark, str(tmp_path / "x")).build(corpus)
+    for argv in (["(?x)foo \\  b"], ["(?x) f o o #c"], ["-i", "KELVIN"], ["-e", "fo{2}", "-e", "h[ae]l+o", "-c"], ["-F", "foo b", "-F", "-e", "main("], ["-w", "foo", "-l"], ["-U", "(?s)goodbye.*bar", "-l"], ["-P", "f(?=oo b)", "-c"]):
+        spec = parse_argv(argv)
+        narrowed = R.plan(spec.patterns[0], spec.fixed, spec.ignore_case, spec.unicode, spec.pcre) is not None
+        assert run(corpus, spec, index=index).lines() == run(corpus, spec).lines(), (argv, narrowed)
 
 
 def test_tree(spark, tmp_path):
@@ -187,7 +242,10 @@ def test_streaming(spark, tmp_path):
         ingest(spark.readStream.schema(schema).parquet(inbox), index, str(tmp_path / "c")).awaitTermination()
     assert {r.path for r in index.candidates(R.plan("needle")).collect()} == {"b"}
     assert {r.path for r in index.manifest().collect()} == {"a", "b"}
-    assert isinstance(SearchSpec(), SearchSpec)
+    # Of a path that comes twice in a batch, the later row counts.
+    spark.createDataFrame([("c", "needle old", 1, 10), ("c", "new", 5, 3), ("c", "needle older", 0, 12)], schema).coalesce(1).write.mode("append").parquet(inbox)
+    ingest(spark.readStream.schema(schema).parquet(inbox), index, str(tmp_path / "c")).awaitTermination()
+    assert {r.path: r.mtime for r in index.manifest().collect()}["c"] == 5
 
 
 def test_trigram_df_of_all_documents(spark):
