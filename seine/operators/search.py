@@ -34,20 +34,20 @@ class Selection:
         of_type = P.typed(path, list(spec.types), [], types) if spec.types else F.lit(False)
         # A sweep knows which hidden names ignore files show; else names tell.
         told = F.col("hidden") if "hidden" in corpus.columns else None
-        conditions = []
+        conditions, self._under = [], []
         for operand in spec.operands or (".",):
             rest = P.below(path, operand)
-            own = keep
-            if not spec.hidden:
-                visible = P.shown(rest, list(spec.globs), list(spec.iglobs), spec.glob_fold, of_type)
-                own &= visible if told is None else visible | ~told
-            if spec.max_depth is not None:
-                own &= F.size(F.split(rest, "/")) <= spec.max_depth
+            own = keep & (F.size(F.split(rest, "/")) <= spec.max_depth) if spec.max_depth is not None else keep
+            visible = F.lit(True) if spec.hidden else P.shown(rest, list(spec.globs), list(spec.iglobs), spec.glob_fold, of_type)
             # A file named is searched whatever the filters.
-            conditions.append(P.under(path, operand) & (own | (path == operand)))
+            if told is None or spec.hidden:
+                conditions.append(P.under(path, operand) & ((own & visible) | (path == operand)))
+                self._under.append(conditions[-1])
+            else:
+                conditions.append(P.under(path, operand) & ((own & (visible | ~told)) | (path == operand)))
+                self._under.append(P.under(path, operand) & (own | (path == operand)))  # on paths alone
         self.corpus, self.spec = corpus, spec
         self.named = path.isin(*spec.operands) if spec.operands else F.lit(False)
-        self._under = conditions
         self.files = corpus.where(reduce(Column.__or__, conditions))
 
     def placed(self, rows: DataFrame) -> DataFrame:
@@ -119,6 +119,8 @@ class Found:
     spec: SearchSpec
     selection: Selection | None = None
     counters: DataFrame | None = None
+    #: Files with a match, where rows don't tell (an empty match has no record).
+    hits: DataFrame | None = None
     _missing: list[str] | None = field(default=None, repr=False)
 
     def lines(self) -> list[str]:
@@ -147,7 +149,7 @@ class Found:
 
     def exit_code(self) -> int:
         """0 for a hit, 2 for any error (unless a quiet search has a hit), else 1."""
-        rows = self.rows
+        rows = self.rows if self.hits is None else self.hits
         hits = rows.where("is_match") if "is_match" in rows.columns else rows.where("n > 0") if "n" in rows.columns else rows
         hit = not hits.isEmpty()
         if hit and self.spec.quiet:
@@ -228,7 +230,7 @@ def run(corpus: DataFrame, spec: SearchSpec, rules: list[P.Rule] | None = None,
         return L.stop_on_nonmatch(m) if spec.stop_on_nonmatch else m
 
     counters = M.stats(files, marked(files), p, **options) if spec.stats or spec.mode == "json" else None
-    found = lambda rows, text: Found(rows, text, spec, chosen, counters)
+    found = lambda rows, text, hits=None: Found(rows, text, spec, chosen, counters, hits)
     simple = not (spec.multiline or spec.invert or spec.max_count is not None)
     matched = files.where(M.anywhere(p, spec.terminator, **options)).select("path") if simple else marked(files).where("is_match").select("path").distinct()
     if spec.quiet and spec.mode != "without":
@@ -255,7 +257,7 @@ def run(corpus: DataFrame, spec: SearchSpec, rules: list[P.Rule] | None = None,
     near = m if spec.passthru else L.context(m, spec.before, spec.after) if spec.before or spec.after else m.where("is_match")
     rows = chosen.placed(render.lines(near, spec, p, options))
     notices = None if spec.text else chosen.placed(_notices(files, marked, simple, p, spec, options))
-    return found(rows if notices is None else rows.select("path", "operand", "is_match").union(notices.select("path", "operand", F.lit(True))), _printed(rows, notices, spec, chosen.files))
+    return found(rows, _printed(rows, notices, spec, chosen.files), matched)
 
 
 def _notices(files: DataFrame, marked, simple: bool, p: str, spec: SearchSpec, options: dict) -> DataFrame:
