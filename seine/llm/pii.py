@@ -112,6 +112,7 @@ _TOKEN = re.compile(r"[^ ]+")
 LONGEST = 40
 #: Candidates judged at once.
 BLOCK = 4096
+_DASHED = re.compile(r"[0-9]-[0-9]")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 
@@ -121,6 +122,10 @@ _OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-
 _KEYED = re.compile(r"(?i:passw(?:or)?d|passwd|pwd|secret|token|credential|api[_-]?key|access[_-]?key|private[_-]?key|bearer)[\"']?(?: ?[:=]{1,2} ?| is | )[\"']?([^\s\"'`,;]{6,256})")
 
 
+_NAMES = ("passw", "pwd", "secret", "token", "credential", "key", "bearer")
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
 def _covered(spans: list[Span]) -> list[tuple[int, int]]:
     """Ranges that the spans cover, sorted and apart."""
     out: list[tuple[int, int]] = []
@@ -168,13 +173,14 @@ def _proposed(text: str, taken: list[tuple[int, int]]) -> Iterator[Span]:
                         yield "card", lo, hi
                     if n <= 12 and text.count(".", lo, hi) == 3:
                         yield "ip", lo, hi
-    yield from (("national_id", *m.span()) for m in _NATIONAL.finditer(text))
+    yield from (("national_id", *m.span()) for m in (_NATIONAL.finditer(text) if _DASHED.search(text) else ()))
     yield from (("iban", *m.span()) for m in _IBAN.finditer(text))
     last = {}
-    for m in _OPAQUE.finditer(text):
+    for m in _OPAQUE.finditer(text) if any(len(w) >= 16 and not w.isalpha() for w in text.split()) else ():
         if any(map(str.isdigit, m[0])) and any(map(str.isalpha, m[0])):
             last[m.span()] = None
-    for m in _KEYED.finditer(text):
+    low = text.lower() if text.isascii() else text.translate(_LOWER)  # of the same length
+    for m in _KEYED.finditer(text) if any(k in low for k in _NAMES) else ():
         if len(value := m[1].rstrip(".:)]}>")) >= 6:
             last[m.start(1), m.start(1) + len(value)] = None
     yield from (("secret", *x) for x in last)
