@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seine.functions import paths as P
 from seine.operators import index as I
 from seine.operators import lines as L
 from seine.operators import modes as M
+from seine.operators.order import ranked
 from seine.plans import regex as R
+from seine import products
 from seine.sources import corpora
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES: dict = dict(products.QUERIES)
+ORACLES: dict = dict(products.ORACLES)
 
 _CTE = (
     f"with d as (select *, {corpora.PATH} as path, 1700000000 + doc_id * 37 % 1000 as mtime, octet_length(encode(text)) as size from documents where text is not null),"
@@ -55,13 +57,10 @@ _hits("pcre_backref", r"(th)\1", "contains(line, 'thth')")
 _hits("line_numbers", "^Th", "regexp_matches(line, '^Th')")
 
 _add("scan_lines", lambda s, d: _l(s, d), "select path, line_no, line from l")
-_add("pre_transform", lambda s, d: L.marked(L.lines(_c(s, d).withColumn("content", F.upper("content"))), "TION").where("is_match").select("path", "line_no"), "select path, line_no from l where contains(upper(line), 'TION')")
-_add("null_data", lambda s, d: L.lines(_c(s, d).withColumn("content", F.replace("content", F.lit("\n"), F.lit("\x00"))), "nul").select("path", "line_no", "line"), "select path, line_no, line from l")
-_add("crlf", lambda s, d: L.lines(_c(s, d).withColumn("content", F.replace("content", F.lit("\n"), F.lit("\r\n"))), "crlf"), "select path, line_no, line from l")
 
 
 def _context(before: int, after: int):
-    return lambda s, d: L.context(L.marked(_l(s, d), "nterti"), before, after)
+    return lambda s, d: L.context(L.marked(L.lines(L.holding(_c(s, d), "nterti")), "nterti"), before, after)
 
 
 _CTX = "select path, line_no, line, is_match from (select *, contains(line, 'nterti') as is_match, max(contains(line, 'nterti')::int) over (partition by path order by line_no rows between {a} preceding and {b} following) as near from l) where near = 1"
@@ -69,10 +68,10 @@ for _name, _b, _a in (("context", 1, 2), ("before_context", 2, 0), ("after_conte
     _add(_name, _context(_b, _a), _CTX.format(a=_a, b=_b))
 _add(
     "context_groups",
-    lambda s, d: L.grouped(L.context(L.marked(_l(s, d), "nterti"), 1, 1)).select("path", "line_no", F.col("grp").cast("long").alias("grp")),
+    lambda s, d: L.grouped(_context(1, 1)(s, d)).select("path", "line_no", F.col("grp").cast("long").alias("grp")),
     "select path, line_no, cast(sum(case when gap > 1 or gap is null then 1 else 0 end) over (partition by path order by line_no) as bigint) as grp from (select *, line_no - lag(line_no) over (partition by path order by line_no) as gap from (" + _CTX.format(a=1, b=1) + "))",
 )
-_add("max_count", lambda s, d: L.max_count(L.marked(_l(s, d), "tion"), 2).where("is_match").select("path", "line_no", "line"), "select path, line_no, line from (select *, row_number() over (partition by path order by line_no) as n from l where contains(line, 'tion')) where n <= 2")
+_add("max_count", lambda s, d: L.max_count(L.marked(L.lines(L.holding(_c(s, d), "tion")), "tion"), 2).where("is_match").select("path", "line_no", "line"), "select path, line_no, line from (select *, row_number() over (partition by path order by line_no) as n from l where contains(line, 'tion')) where n <= 2")
 _add(
     "stop_on_nonmatch",
     lambda s, d: L.stop_on_nonmatch(L.marked(_l(s, d), "tion")).where("is_match").select("path", "line_no"),
@@ -92,7 +91,6 @@ _add("trim", lambda s, d: _l(s, d).withColumn("line", F.concat(F.lit(" \t"), "li
 _add("replace", lambda s, d: L.marked(_l(s, d), "tion").where("is_match").select("path", "line_no", L.replaced("tion", "SHUN").alias("line")), "select path, line_no, regexp_replace(line, 'tion', 'SHUN', 'g') as line from l where contains(line, 'tion')")
 _add("replace_groups", lambda s, d: L.marked(_l(s, d), "(t)(ion)").where("is_match").select("path", "line_no", L.replaced("(t)(ion)", "$2-$1").alias("line")), r"select path, line_no, regexp_replace(line, '(t)(ion)', '\2-\1', 'g') as line from l where contains(line, 'tion')")
 _add("multiline", lambda s, d: L.multiline(_c(s, d), r"[a-z]+\.\n[A-Z]").select("path", "match"), r"select path, unnest(regexp_extract_all(text, '[a-z]+\.\n[A-Z]')) as match from d")
-_add("separators", lambda s, d: L.marked(_l(s, d), "nterti").where("is_match").select(F.concat_ws("|", F.translate("path", "/", "\\"), F.col("line_no").cast("string"), "line").alias("out")), r"select concat_ws('|', replace(path, '/', '\'), cast(line_no as varchar), line) as out from l where contains(line, 'nterti')")
 _add(
     "heading",
     lambda s, d: (lambda m: m.select("path", F.lit(0).alias("line_no"), F.col("path").alias("out")).distinct().union(m.select("path", "line_no", F.concat_ws(":", F.col("line_no").cast("string"), "line"))))(L.marked(_l(s, d), "nterti").where("is_match")),
@@ -110,7 +108,6 @@ _add(
     lambda s, d: M.stats(_c(s, d), L.marked(_l(s, d), "tion"), "tion"),
     "select cast((select sum(len(regexp_extract_all(line, 'tion'))) from l) as bigint) as matches, (select count(*) from l where contains(line, 'tion')) as matched_lines, (select count(distinct path) from l where contains(line, 'tion')) as searches_with_match, (select count(*) from d) as searches, cast((select sum(size) from d) as bigint) as bytes_searched",
 )
-_add("json_summary", lambda s, d: M.stats(_c(s, d), L.marked(_l(s, d), "nterti"), "nterti").select(F.to_json(F.struct(F.struct("matched_lines", "matches").alias("stats"), F.lit("summary").alias("type"))).alias("event")), """select '{"stats":{"matched_lines":' || (select count(*) from l where contains(line, 'nterti')) || ',"matches":' || (select sum(len(regexp_extract_all(line, 'nterti'))) from l) || '},"type":"summary"}' as event""")
 _add(
     "json_match_events",
     lambda s, d: M.json_events(L.marked(_l(s, d), "nterti"), "nterti").select("path", F.get_json_object("event", "$.type").alias("type"), F.get_json_object("event", "$.data.line_number").cast("long").alias("line_no"), F.get_json_object("event", "$.data.absolute_offset").cast("long").alias("absolute_offset")),
@@ -120,7 +117,6 @@ _add(
 _files = lambda cond: lambda s, d: _c(s, d).where(cond(F.col("path"))).select("path")
 for _name, _cond, _sql in (
     ("files_all", lambda p: ~P.excluded(p), "true"),
-    ("sweep_listing", lambda p: ~P.excluded(p) & ~P.hidden(p), "not contains(path, '/.')"),
     ("files_glob", lambda p: P.matches(p, "*.rs"), "path like '%.rs'"),
     ("glob_include", lambda p: P.overridden(p, ["*.{md,py}"]), "path like '%.md' or path like '%.py'"),
     ("glob_negate", lambda p: P.overridden(p, ["!de"]), "path not like 'de/%'"),
@@ -132,21 +128,17 @@ for _name, _cond, _sql in (
     ("gitignore_filter", lambda p: ~P.ignored(p, [P.Rule.parse(x) for x in ("*.py", "!*7.py", "src2/")]), "path not like '%/src2/%' and (path not like '%.py' or path like '%7.py')"),
     ("hidden_default", lambda p: ~P.hidden(p), "not contains(path, '/.')"),
     ("hidden_shown", P.hidden, "contains(path, '/.')"),
-    ("no_ignore_listing", lambda p: F.lit(True), "true"),
     ("max_depth", lambda p: P.depth(p) <= 3, "len(string_split(path, '/')) <= 3"),
-    ("scoped_listing", lambda p: p.startswith("en/src1/"), "starts_with(path, 'en/src1/')"),
 ):
     _add(_name, _files(_cond), f"select path from d where {_sql}")
 _add("path_operands", lambda s, d: P.operands(_c(s, d), ["fr", "en/src1", "fr/src2"]).select("operand", "path"), "select 0 as operand, path from d where starts_with(path, 'fr/') union all select 1, path from d where starts_with(path, 'en/src1/') union all select 2, path from d where starts_with(path, 'fr/src2/')")
-_add("type_list", lambda s, d: s.createDataFrame(sorted((k, ", ".join(sorted(v))) for k, v in P.TYPES.items()), "name string, globs string"), "select * from (values " + ", ".join(f"('{k}', '{', '.join(sorted(v))}')" for k, v in P.TYPES.items()) + ") t(name, globs)", cte=False)
 
 for _name, _order, _sql in (
     ("sort_path", lambda: [P.order_key(F.col("path"))], "string_split(path, '/')"),
     ("sortr_path", lambda: [P.order_key(F.col("path")).desc()], "string_split(path, '/') desc"),
     ("sort_modified", lambda: [F.col("mtime"), P.order_key(F.col("path"))], "mtime, string_split(path, '/')"),
 ):
-    # The rank is the report here: a listing of names is ordered as a whole.
-    _add(_name, lambda s, d, o=_order: _c(s, d).select("path", F.row_number().over(Window.orderBy(*o())).cast("long").alias("rank")), f"select path, row_number() over (order by {_sql}) as rank from d")
+    _add(_name, lambda s, d, o=_order: ranked(_c(s, d).select("path", "mtime"), *o()).select("path", "rank"), f"select path, row_number() over (order by {_sql}) as rank from d")
 _add("limit_offset", lambda s, d: _l(s, d).where(F.col("line").contains("tion")).orderBy("path", "line_no").offset(20).limit(50).select("path", "line_no"), "select path, line_no from l where contains(line, 'tion') order by path, line_no limit 50 offset 20")
 
 
@@ -161,16 +153,10 @@ def _tri(text: str) -> int:
 _add("trigram_df", lambda s, d: I.postings(_c(s, d).where("octet_length(content) = length(content)").withColumn("file_id", F.col("doc_id"))).groupBy("tri").agg(F.count("*").alias("df")), "select tri, count(*) as df from (select distinct doc_id, cast(ascii(substr(text, i, 1)) * 65536 + ascii(substr(text, i + 1, 1)) * 256 + ascii(substr(text, i + 2, 1)) as int) as tri from (select doc_id, text, unnest(range(1, length(text) - 1)) as i from d where size = length(text))) group by tri")
 #: ``trigram_df`` counts pure-ASCII texts only, where characters (DuckDB's) are bytes; this counts all. Tests compare it with brute force.
 _add("trigram_df_all", lambda s, d: _post(s, d).groupBy("tri").agg(F.count("*").alias("df")), None)
-_add("posting_lookup", lambda s, d: _post(s, d).where(F.col("tri") == _tri("tio")).select("file_id"), "select doc_id as file_id from d where contains(text, 'tio')")
 _add("and_candidates", lambda s, d: I.narrowed(_post(s, d), R.plan("tion")), "select doc_id as file_id from d where contains(text, 'tio') and contains(text, 'ion')")
 _add("or_candidates", lambda s, d: I.narrowed(_post(s, d), R.plan("nterti|Lice")), "select doc_id as file_id from d where (contains(text, 'nte') and contains(text, 'ter') and contains(text, 'ert') and contains(text, 'rti')) or (contains(text, 'Lic') and contains(text, 'ice'))")
 _add("icase_candidates", lambda s, d: I.narrowed(_post(s, d), R.plan("the a", ignore_case=True)), "select doc_id as file_id from d where regexp_matches(text, '(?i)the') and regexp_matches(text, '(?i)he ') and regexp_matches(text, '(?i)e a')")
-_add("plan_all_candidates", lambda s, d: I.classify(_c(s, d)).where("not is_binary").select("path") if R.plan("a.b") is None else None, "select path from d")
-_add("oversized_always_scanned", lambda s, d: I.classify(_c(s, d), 4096).where(F.col("too_large") | F.col("content").contains("nterti")).select("path"), "select path from d where size > 4096 or contains(text, 'nterti')")
-_add("classify_flags", lambda s, d: I.classify(_c(s, d), 4096).select("path", "too_large", "is_binary", "nul_late", "transcode"), "select path, size > 4096 as too_large, false as is_binary, false as nul_late, false as transcode from d")
-_add("binary_skip", lambda s, d: I.classify(_c(s, d).withColumn("content", F.when(F.col("doc_id") % 3 == 0, F.concat("content", F.lit("\x00"))).otherwise(F.col("content")))).where("not is_binary and not nul_late").select("path"), "select path from d where doc_id % 3 <> 0")
 _add("binary_text", lambda s, d: L.marked(L.lines(_c(s, d).withColumn("content", F.concat(F.lit("\x00"), "content"))), "tion").where("is_match").select("path", "line_no"), "select path, line_no from l where contains(line, 'tion')")
-_add("encoding_latin1", lambda s, d: L.marked(L.lines(_c(s, d).withColumn("content", F.decode(F.encode(F.regexp_replace("content", "[^\\x00-\\xff]", "?"), "ISO-8859-1"), "ISO-8859-1"))), "é").where("is_match").select("path", "line_no"), "select path, line_no from l where contains(line, 'é')")
 
 
 def _snapshots(s, d):
@@ -181,5 +167,3 @@ def _snapshots(s, d):
 
 _add("freshness_diff", lambda s, d: I.freshness(*_snapshots(s, d)).select("path", "status"), "select path, case when doc_id % 11 = 0 then 'new' when doc_id % 7 = 0 then 'dead' when doc_id % 5 = 0 then 'changed' else 'same' end as status from d where not (doc_id % 11 = 0 and doc_id % 7 = 0)")
 _add("live_after_update", lambda s, d: (lambda x: x[1].join(I.freshness(*x).where("status in ('changed', 'dead')"), "file_id", "left_anti").select("path"))(_snapshots(s, d)), "select path from d where doc_id % 11 <> 0 and doc_id % 7 <> 0 and doc_id % 5 <> 0")
-_add("index_status", lambda s, d: I.classify(_c(s, d), 4096).agg(F.count("*").alias("files"), F.sum((F.col("too_large") | F.col("is_binary") | F.col("transcode")).cast("long")).alias("skipped")), "select count(*) as files, cast(sum((size > 4096)::int) as bigint) as skipped from d")
-_add("index_stats", lambda s, d: _post(s, d).agg(F.count_distinct("file_id").alias("files")), "select count(*) as files from d where size >= 3")

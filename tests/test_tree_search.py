@@ -151,8 +151,11 @@ def test_reading(spark, root, tmp_path):
     (tmp_path / "p.gz").write_bytes(gzip.compress(b"zipneedle packed\n"))
     (tmp_path / "latin.txt").write_bytes(b"caf\xe9 test\n")
     (tmp_path / "rules").write_text("latin*\n!p.gz\n")
+    up = tmp_path.parent / "upper"
+    up.write_text("#!/bin/sh\nexec tr a-z A-Z\n")
+    up.chmod(0o755)
     at = str(tmp_path)
-    for argv, records in ((["-z", "zipneedle"], ["p.gz:1:zipneedle packed"]), (["zipneedle"], []), (["-E", "latin-1", "café"], ["latin.txt:1:café test"]), (["--pre", "tr a-z A-Z", "--pre-glob", "*.txt", "TEST"], []), (["--pre", "cat", "-c", "test"], ["latin.txt:1"]), (["--ignore-file", "rules", "--files"], ["p.gz", "rules"])):
+    for argv, records in ((["-z", "zipneedle"], ["p.gz:1:zipneedle packed"]), (["zipneedle"], []), (["-E", "latin-1", "café"], ["latin.txt:1:café test"]), (["--pre", str(up), "--pre-glob", "rules", "LATIN"], ["rules:1:LATIN*"]), (["--pre", "cat", "-c", "test"], ["latin.txt:1"]), (["--ignore-file", "rules", "--files"], ["p.gz", "rules"])):
         assert search_tree(spark, at, argv).lines() == records, argv
     with pytest.raises(UsageError):
         search_tree(spark, at, ["-E", "nope", "x"])
