@@ -48,35 +48,40 @@ _GRAY = np.array([0, 1, 3, 2], np.uint32)
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 _freq = np.fft.rfftfreq(FRAME, 1 / RATE)
 _used = np.flatnonzero((_freq >= LOW) & (_freq <= HIGH))
-_MAP = np.zeros((len(_used), 12))
-_MAP[np.arange(len(_used)), np.round(12 * np.log2(_freq[_used] / 440)).astype(int) % 12] = 1
+_class = np.round(12 * np.log2(_freq[_used] / 440)).astype(int) % 12
+#: Bins ordered by their pitch class, and where each class begins among them.
+_BINS = _used[np.argsort(_class, kind="stable")]
+_STARTS = np.searchsorted(np.sort(_class), np.arange(12))
+#: Samples that are transformed at once.
+_BLOCK = 1 << 19
 
 
 def frames(pcm: np.ndarray) -> np.ndarray:
-    """Normalised pitch-class energies, a row for every hop."""
-    if len(pcm) < FRAME:
-        return np.zeros((0, 12))
-    view = np.lib.stride_tricks.sliding_window_view(pcm.astype(np.float32), FRAME)[::HOP]
-    tone = np.fft.rfft(view * _WINDOW, axis=1)[:, _used]
-    chroma = (tone.real**2 + tone.imag**2).astype(np.float64) @ _MAP
-    norm = np.sqrt((chroma**2).sum(1, keepdims=True))
+    """Normalised pitch-class energies, a row for every hop, of one recording or of several of a length."""
+    if pcm.shape[-1] < FRAME:
+        return np.zeros((*pcm.shape[:-1], 0, 12))
+    view = np.lib.stride_tricks.sliding_window_view(pcm.astype(np.float32), FRAME, axis=-1)[..., ::HOP, :]
+    tone = np.fft.rfft(view * _WINDOW)[..., _BINS]
+    # Sums of a fixed order, so that equal recordings have equal energies however many are taken at once.
+    chroma = np.add.reduceat((tone.real**2 + tone.imag**2).astype(np.float64), _STARTS, axis=-1)
+    norm = np.sqrt((chroma**2).sum(-1, keepdims=True))
     return chroma / np.where(norm > 1e-9, norm, 1)
 
 
 def fingerprint(pcm: np.ndarray) -> np.ndarray:
-    """Packed integers of a recording."""
+    """Packed integers of one recording, or of each of several of a length."""
     c = frames(pcm)
-    n = len(c) - WIDTH + 1
+    n = c.shape[-2] - WIDTH + 1
     if n <= 0:
-        return np.zeros(0, np.uint32)
-    integral = np.zeros((len(c) + 1, 13))
-    np.cumsum(np.cumsum(c, 0), 1, out=integral[1:, 1:])
+        return np.zeros((*pcm.shape[:-1], 0), np.uint32)
+    integral = np.zeros((13, *pcm.shape[:-1], c.shape[-2] + 1))
+    integral[1:, ..., 1:] = np.moveaxis(np.cumsum(np.cumsum(c, -2), -1), -1, 0)
 
     def area(t0: int, t1: int, p0: int, p1: int) -> np.ndarray:
-        lo, hi = integral[t0 : t0 + n], integral[t1 : t1 + n]
-        return (hi[:, p1] - lo[:, p1] - hi[:, p0] + lo[:, p0]) / ((t1 - t0) * (p1 - p0))
+        by_time = integral[p1, ..., t1 : t1 + n] - integral[p1, ..., t0 : t0 + n] - integral[p0, ..., t1 : t1 + n] + integral[p0, ..., t0 : t0 + n]
+        return by_time / ((t1 - t0) * (p1 - p0))
 
-    out = np.zeros(n, np.uint32)
+    out = np.zeros((*pcm.shape[:-1], n), np.uint32)
     for shape, first, classes, width in FILTERS:
         end, mid, half = first + classes, first + classes // 2, width // 2
         if shape == "pitch":
@@ -88,7 +93,22 @@ def fingerprint(pcm: np.ndarray) -> np.ndarray:
         else:
             third = width // 3
             value = area(third, 2 * third, first, end) * 2 - area(0, third, first, end) - area(2 * third, width, first, end)
-        out = (out << np.uint32(2)) | _GRAY[np.searchsorted(CUTS, value)]
+        out = (out << np.uint32(2)) | _GRAY[(value > CUTS[0]).view(np.int8) + (value > CUTS[1]).view(np.int8) + (value > CUTS[2]).view(np.int8)]
+    return out
+
+
+def fingerprint_all(recordings: list[np.ndarray]) -> list[np.ndarray]:
+    """``fingerprint`` of each, those of a length together."""
+    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(recordings)
+    alike: dict[int, list[int]] = {}
+    for k, x in enumerate(recordings):
+        alike.setdefault(len(x), []).append(k)
+    for size, ks in alike.items():
+        step = max(1, _BLOCK // max(1, size))
+        for at in range(0, len(ks), step):
+            part = ks[at : at + step]
+            for k, prints in zip(part, fingerprint(np.stack([recordings[k] for k in part]))):
+                out[k] = prints
     return out
 
 
@@ -127,10 +147,11 @@ def sonify(vector: np.ndarray | list[float]) -> bytes:
 def _prints(decode: Callable[[Any], bytes] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            heard = []
             for x in batch.column("audio"):
                 raw = b"" if not x.is_valid else x.as_py() if decode is None else decode(x.values.to_numpy(zero_copy_only=False) if pa.types.is_list(x.type) else x.as_py())
-                found.append(fingerprint(np.frombuffer(raw[: len(raw) // 2 * 2], "<i2")))
+                heard.append(np.frombuffer(raw[: len(raw) // 2 * 2], "<i2"))
+            found = fingerprint_all(heard)
             yield pa.record_batch([batch.column("id"), pa.array([f.view(np.int32) for f in found], pa.list_(pa.int32())), pa.array([zlib.crc32(f.tobytes()) for f in found], pa.int64())], names=["id", "prints", "prints_crc32"])
 
     return run

@@ -56,6 +56,11 @@ def test_fingerprint_against_plain_sums():
     assert len(got) == len(c) - chroma.WIDTH + 1 and near <= 1  # a value may lie on a cut
 
 
+def test_several_at_once_are_each_alone():
+    some = [melody(k, 9 + k % 3) for k in range(40)] + [melody(1)[:100], np.zeros(0, "<i2")]
+    assert all(np.array_equal(x, chroma.fingerprint(y)) for x, y in zip(chroma.fingerprint_all(some), some))
+
+
 def votes_of(a, b):
     """Frames of equal integers at every offset, pair by pair."""
     out = {}
