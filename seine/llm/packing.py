@@ -13,8 +13,9 @@ For padded windows the minimum of ``best(i) + b[i]`` over the reach is kept in
 a monotone queue (constant time a cut); windows of a power of two add at most
 twelve transitions.
 
-A block is ``BLOCK`` tokens of whole documents (a longer document is a block),
-so memory is bounded and at most one window a block is short of others.
+A block is ``BLOCK`` tokens of whole documents, so at most one window a block is
+short of others. A longer document is a block of its own: its tokens and cuts
+are held by its task, some hundred bytes a token at its end.
 
 Defined cases: a null or empty text is its end id alone; repeated ids are
 packed row by row, in order of their texts' hashes; no documents, no pieces.

@@ -11,9 +11,10 @@ one vectorised expression, and any range of ids from its blocks alone.
 Tasks write one file each, under a name of their own attempt, to the shared
 folder; only files of attempts that ended are in the manifest.
 
-Defined cases: a null or empty text is the end id alone; a null id is stored as -1;
-repeated ids keep one
-entry for each row, in order of their texts' hashes; no documents give no file.
+Defined cases: a null or empty text is the end id alone; a null id is stored as
+the least of 64 bits and read back as null; repeated ids keep one entry for each
+row, in order of their texts' hashes; no documents give no file. One document's
+ids are held whole as they are encoded; they are read back in steps.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ MAGIC = b"SEINEBP1"
 BLOCK = 1 << 16
 _TRAILER = 6 * 8 + len(MAGIC)
 _STEP = 1 << 20
+#: What a file has for a null id.
+NO_ID = -(2**63)
 
 
 def width_of(vocabulary: int) -> int:
@@ -142,7 +145,7 @@ def _write(path: str, folder: str, end_id: int):
                     out = Writer(fs.open_output_stream(f"{at}/{name}"), enc.size, end_id)
                     first = (part.column("doc_id")[0].as_py(), part.column("text_hash")[0].as_py())
                 for doc, ids in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text").to_pylist())):
-                    out.add(-1 if doc is None else doc, ids)
+                    out.add(NO_ID if doc is None else doc, ids)
         if out is not None:
             out.close()
             row = {"path": f"{folder}/{name}", "first_id": first[0], "first_hash": first[1], "n_docs": len(out.docs), "n_tokens": out.tokens}
@@ -162,7 +165,7 @@ def write(documents: DataFrame, vocabulary_path: str, folder: str | None = None,
     fs.create_dir(path)
     ordered = in_order(ids_and_texts(documents)).withColumn("text_hash", F.xxhash64("text"))
     # The job runs here; what comes back is one row a file.
-    files = sorted(ordered.mapInArrow(_write(vocabulary_path, folder, end_id), MANIFEST).collect(), key=lambda r: (r.first_id is not None, r.first_id, r.first_hash))
+    files = sorted(ordered.mapInArrow(_write(vocabulary_path, folder, end_id), MANIFEST).collect(), key=lambda r: (r.first_id is not None, r.first_id or 0, r.first_hash or 0))
     start, rows = 0, []
     for k, r in enumerate(files):
         rows.append((k, r.path, start, r.n_docs, r.n_tokens))
@@ -186,7 +189,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     crc = [0]
                     for a in range(base, int(ends[-1]), _STEP):
                         crc = [zlib.crc32(file.range(a, min(a + _STEP, int(ends[-1]))), crc[0])]
-                yield pa.record_batch([pa.array(file.docs[lo:hi]), pa.array(starts + row["start"]), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.record_batch([pa.array(file.docs[lo:hi], mask=file.docs[lo:hi] == NO_ID), pa.array(starts + row["start"]), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
                 lo = hi
 
 

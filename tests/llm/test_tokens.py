@@ -62,16 +62,21 @@ def crc(x):
 
 
 TEXTS = [(5, "one two"), (3, None), (3, "b"), (3, "b"), (9, ""), (1, "word. " * 30_000), (None, "x")]
+#: Many rows without an id, which may begin several files.
+NAMELESS = [(None, f"text {k}") for k in range(200)] + [(-1, "y")]
 
 
 def test_files(spark):
     df = spark.createDataFrame([(i, t, 7, "p") for i, t in TEXTS], "doc_id long, text string, start long, path string")
     rows = tokenfile.read(tokenfile.write(df, public_tokenizers.path(FILES[0]))).collect()
-    want = [(-1 if i is None else i, [*ids(FILES[0], t), 1]) for i, t in TEXTS]
-    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == sorted((i, len(x), crc(x)) for i, x in want)
+    want = [(i, [*ids(FILES[0], t), 1]) for i, t in TEXTS]
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows), key=str) == sorted(((i, len(x), crc(x)) for i, x in want), key=str)
     rows.sort(key=lambda r: r.start)
-    assert [r.doc_id for r in rows] == [-1, 1, 3, 3, 3, 5, 9]
+    assert [r.doc_id for r in rows] == [None, 1, 3, 3, 3, 5, 9]
     assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows[:-1])]).tolist()
+    nameless = spark.createDataFrame(NAMELESS, "doc_id long, text string").repartition(4)
+    rows = tokenfile.read(tokenfile.write(nameless, public_tokenizers.path(FILES[0]))).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == [(False, -1)] + [(True, 0)] * 200
     assert tokenfile.read(tokenfile.write(df.limit(0), public_tokenizers.path(FILES[0]))).count() == 0
 
 
