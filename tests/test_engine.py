@@ -258,3 +258,12 @@ def test_trigram_df_of_all_documents(spark):
     assert not all(map(bytes.isascii, texts))
     want = Counter(x for t in texts for x in {int.from_bytes(t[i : i + 3], "big") for i in range(len(t) - 2)})
     assert {r.tri: r.df for r in QUERIES["trigram_df_all"](spark, sf).collect()} == want
+
+
+def test_sql(spark, corpus):
+    from seine import sql
+
+    sql.register(corpus, prefix="t_")
+    rows = spark.sql("select g.path, f.size from t_grep('^fo+$') g join t_files f on f.path = g.path where g.line_no > 1").collect()
+    assert sorted(map(tuple, rows)) == [("gap.txt", len(FILES["gap.txt"])), ("words.txt", len(FILES["words.txt"]))]
+    assert spark.sql("select count(*) from t_lines where path = 'case.txt'").first()[0] == 3
