@@ -150,9 +150,13 @@ def _tri(text: str) -> int:
     return int.from_bytes(text.encode(), "big")
 
 
-_add("trigram_df", lambda s, d: I.postings(_c(s, d).where("octet_length(content) = length(content)").withColumn("file_id", F.col("doc_id"))).groupBy("tri").agg(F.count("*").alias("df")), "select tri, count(*) as df from (select distinct doc_id, cast(ascii(substr(text, i, 1)) * 65536 + ascii(substr(text, i + 1, 1)) * 256 + ascii(substr(text, i + 2, 1)) as int) as tri from (select doc_id, text, unnest(range(1, length(text) - 1)) as i from d where size = length(text))) group by tri")
-#: ``trigram_df`` counts pure-ASCII texts only, where characters (DuckDB's) are bytes; this counts all. Tests compare it with brute force.
-_add("trigram_df_all", lambda s, d: _post(s, d).groupBy("tri").agg(F.count("*").alias("df")), None)
+#: Byte trigrams, in SQL by way of hexadecimal digits.
+_add(
+    "trigram_df",
+    lambda s, d: _post(s, d).groupBy("tri").agg(F.count("*").alias("df")),
+    "select tri, count(*) as df from (select distinct doc_id, cast('0x' || substr(h, 2 * i - 1, 6) as int) as tri"
+    " from (select doc_id, h, unnest(generate_series(1, len(h) // 2 - 2)) as i from (select doc_id, hex(encode(text)) as h from d))) group by tri",
+)
 _add("and_candidates", lambda s, d: I.narrowed(_post(s, d), R.plan("tion")), "select doc_id as file_id from d where contains(text, 'tio') and contains(text, 'ion')")
 _add("or_candidates", lambda s, d: I.narrowed(_post(s, d), R.plan("nterti|Lice")), "select doc_id as file_id from d where (contains(text, 'nte') and contains(text, 'ter') and contains(text, 'ert') and contains(text, 'rti')) or (contains(text, 'Lic') and contains(text, 'ice'))")
 _add("icase_candidates", lambda s, d: I.narrowed(_post(s, d), R.plan("the a", ignore_case=True)), "select doc_id as file_id from d where regexp_matches(text, '(?i)the') and regexp_matches(text, '(?i)he ') and regexp_matches(text, '(?i)e a')")
