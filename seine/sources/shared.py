@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
+
+
+@atexit.register
+def _delete_all() -> None:
+    """What queries wrote goes when the driver ends; an index of one's own is not written here."""
+    for path in _made:
+        with contextlib.suppress(OSError):
+            fs, local = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path.removeprefix("file:"))
+            fs.delete_dir(local)
+
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``; only a local session without it writes below its warehouse."""
@@ -14,7 +28,9 @@ def folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         at = spark.conf.get("spark.sql.warehouse.dir")
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
