@@ -19,6 +19,8 @@ from seine.plans import regex as R
 from seine.sources import tree
 from seine.spec import SearchSpec, UsageError, parse_argv
 
+#: Most candidates that come to the driver as paths.
+FEW = 10_000
 #: A NUL within so many bytes makes a file binary as a whole; a later one ends the search at a multiple of it.
 FILL = 64 << 10
 
@@ -206,7 +208,9 @@ def run(corpus: DataFrame, spec: SearchSpec, rules: list[P.Rule] | None = None,
     groups = plan(spec) if index and spec.use_index and not index.no_index else None
     if groups is not None:
         candidates = index.candidates(groups, binary=spec.binary != "quit" or bool(spec.operands), zipped=spec.zip)
-        files = files.join(candidates, "path", "left_semi")
+        # So few paths are a predicate; more are joined, which may shuffle what the corpus holds.
+        few = [r.path for r in candidates.limit(FEW + 1).collect()]
+        files = files.where(F.col("path").isin(few) if few else F.lit(False)) if len(few) <= FEW else files.join(candidates, "path", "left_semi")
     if load is not None:
         files = load(files)
     options = {"ignore_case": spec.ignore_case, "word": spec.bound == "word", "line": spec.bound == "line", "unicode": spec.unicode}

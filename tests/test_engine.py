@@ -12,6 +12,7 @@ from seine.functions import paths as P
 from seine.operators import index as I
 from seine.operators import lines as L
 from seine.operators import modes as M
+from seine.operators import search
 from seine.operators.search import run
 from seine.plans import regex as R
 from seine.sources import tree
@@ -213,6 +214,11 @@ def test_index_equals_scan(spark, corpus, tmp_path):
         spec = parse_argv(argv)
         narrowed = R.plan(spec.patterns[0], spec.fixed, spec.ignore_case, spec.unicode, spec.pcre) is not None
         assert run(corpus, spec, index=index).lines() == run(corpus, spec).lines(), (argv, narrowed)
+    few, search.FEW = search.FEW, 1
+    try:
+        assert run(corpus, parse_argv(["-c", "foo"]), index=index).lines() == run(corpus, parse_argv(["-c", "foo"])).lines()
+    finally:
+        search.FEW = few
 
 
 def test_tree(spark, tmp_path):
