@@ -20,7 +20,7 @@ from seine.sources import tree
 from seine.spec import SearchSpec, UsageError, parse_argv
 
 #: Most candidates that come to the driver as paths.
-FEW = 10_000
+FEW = 500
 #: A NUL within so many bytes makes a file binary as a whole; a later one ends the search at a multiple of it.
 FILL = 64 << 10
 
