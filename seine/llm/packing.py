@@ -31,13 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from seine.llm.session import ids_and_texts, in_order, tune
-from seine.llm.text import pieces
+from seine.llm.text import gathered, pieces
 from seine.llm.tokens import Encoder, encoder
 
 WINDOW = 2048
 SENTENCE = 2
 HARD = 64
 BLOCK = 1 << 18
+#: Bytes of text encoded at once: each round has a share of cost that doesn't depend on its size.
+READ = 4 << 20
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -150,8 +152,8 @@ def _pack(path: str, window: int, end_id: int, block: int):
             docs, held, size = [], [], 0
             return out
 
-        for batch in batches:
-            for part in pieces(batch, "text", 1 << 20):
+        for batch in gathered(batches, "text", READ):
+            for part in pieces(batch, "text", READ):
                 for doc, ids in zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text").to_pylist())):
                     if size and size + len(ids) >= block:
                         yield flush()

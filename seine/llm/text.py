@@ -6,7 +6,7 @@ lookups over its bytes; every byte of a non-ASCII character is of one class.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,6 +76,24 @@ def pieces(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
         row = end
 
 
+#: Bytes that a row takes in Python, whatever its text.
+ROW = 128
+
+
+def gathered(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined as far as they have at most ``most`` bytes of text together, a row counting as ``ROW`` more."""
+    held, size = [], 0
+    for batch in batches:
+        more = batch.column(column).nbytes + ROW * batch.num_rows
+        if held and size + more > most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += more
+    if held:
+        yield pa.concat_batches(held)
+
+
 @dataclass
 class Words:
     """Words of a batch: byte spans, the row of each, 64-bit hashes, rows' ranges."""

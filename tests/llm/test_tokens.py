@@ -1,16 +1,19 @@
 import random
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from seine.llm import packing, tokenfile
+from seine.llm import packing, tokenfile, tokens
 from seine.llm.queries import QUERIES
+from seine.llm.text import gathered
 from seine.llm.tokens import encoder
 
 FILES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
@@ -35,6 +38,54 @@ def test_odd_texts(file):
     assert [x.tolist() for x in encoder(public_tokenizers.path(file)).encode(texts)] == [ids(file, t) for t in texts]
 
 
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.text(alphabet="'  \n\tstremvldaSÉœ09!.¿—…"), max_size=6))
+def test_byte_level_cut_is_the_librarys(texts):
+    each = [t.encode() for t in texts]
+    at = np.cumsum([0, *map(len, each)])
+    raw = b"".join(each)
+    start = [*tokens.byte_level_starts(np.frombuffer(raw, np.uint8), at).tolist(), len(raw)]
+    want = [t[a:b] for t in texts for _, (a, b) in plain[FILES[1]].pre_tokenizer.pre_tokenize_str(t)]
+    assert [raw[a:b].decode() for a, b in zip(start, start[1:])] == want
+    assert [x.tolist() for x in encoder(public_tokenizers.path(FILES[1])).encode(texts)] == [ids(FILES[1], t) for t in texts]
+
+
+def invented(n, rng):
+    parts = "th an in er on re ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve é".split()
+    return [" ".join("".join(rng.choices(parts, k=rng.choice([1, 1, 2, 2, 3, 4, 5]))) for _ in range(400)) for _ in range(n)]
+
+
+def test_memo_forgets_rightly(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO", 300)
+    enc, rng = tokens.Encoder(public_tokenizers.path(FILES[1])), random.Random(6)
+    for _ in range(12):
+        texts = [*invented(4, rng), "x" * 200 + " y"]
+        assert [x.tolist() for x in enc.encode(texts)] == [ids(FILES[1], t) for t in texts]
+        assert len(enc.keys) == len(enc.values) == len(enc.uses) <= 300 and b"x" * 200 not in enc.keys.to_pylist()
+
+
+def test_byte_level_ids_cost_little():
+    """Of the CPU time that the library takes for texts of many new words; the best of three, as machines are shared."""
+    texts, path = invented(6000, random.Random(5)), public_tokenizers.path(FILES[1])
+    shares = []
+    for _ in range(3):
+        enc, took = tokens.Encoder(path), []
+        for encode in (enc.encode, enc._whole):
+            began = time.process_time()
+            for k in range(0, len(texts), 2000):
+                encode(texts[k : k + 2000])
+            took.append(time.process_time() - began)
+        shares.append(took[0] / took[1])
+    assert min(shares) < 0.7, shares
+
+
+def test_batches_are_gathered():
+    batches = [pa.record_batch({"text": ["x" * n] * 2}) for n in (10, 1000, 5000, 10, 10)]
+    got = list(gathered(batches, "text", 3000))
+    assert [b.num_rows for b in got] == [4, 2, 4] and pa.Table.from_batches(got).equals(pa.Table.from_batches(batches).combine_chunks())
+    assert list(gathered([], "text", 10)) == []
+
+
 @pytest.mark.parametrize("width", [1, 7, 15, 16, 17, 20])
 def test_bits_round_trip(width):
     x = np.random.default_rng(width).integers(0, 1 << width, 1001)
