@@ -247,7 +247,7 @@ def groups(documents: DataFrame, shingle: int = 5, percent: int = 80, small: int
     """Per row: doc_id, n_shingles, component_id (smallest id reachable), kept."""
     tables = Tables(tune(documents.sparkSession))
     docs = ids_and_texts(documents)
-    sig = tables.write(docs.mapInArrow(_signatures(shingle), "doc_id long, n long, digest binary, bands array<long>"), "signatures")
+    sig = tables.write(docs.mapInArrow(_signatures(shingle), "doc_id long, n long, digest binary, bands array<long>"), "signatures", by="digest")
     named = sig.where("doc_id is not null and n > 0")
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"), F.first("n").alias("n"))
 
@@ -257,15 +257,15 @@ def groups(documents: DataFrame, shingle: int = 5, percent: int = 80, small: int
     exploded = exploded.select("node", "n", F.when(F.col("hot"), F.col("key")).alias("hot_key"), F.when(F.col("hot"), salted).otherwise(F.col("key")).alias("part"))
     part = Window.partitionBy("part")
     hub = F.min(F.struct("node", "n")).over(part).alias("hub")
-    buckets = tables.write(exploded.select("part", "hot_key", "node", "n", hub, F.count("*").over(part).alias("size")).where("size > 1 or hot_key is not null"), "buckets")
+    buckets = tables.write(exploded.select("part", "hot_key", "node", "n", hub, F.count("*").over(part).alias("size")).where("size > 1 or hot_key is not null"), "buckets", by="node")
     # At most HOT_KEYS * SALTS rows.
     hubs = buckets.where("hot_key is not null").groupBy("hot_key", "part").agg(F.first("hub").alias("hub"))
     tops = hubs.join(hubs.groupBy("hot_key").agg(F.min("hub").alias("top")), "hot_key").select("top", F.col("hub.node").alias("node"), F.col("hub.n").alias("n"))
     stars = buckets.select(F.col("hub").alias("top"), "node", "n").union(tops).where(F.col("node") != F.col("top.node")).where(_possible(percent, "n", "top.n"))
     pairs = tables.write(stars.select(F.col("top.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = tables.write(restricted(docs, nodes, "doc_id").mapInArrow(_sets(shingle), "node long, hashes binary"), "sets")
-    links = tables.write(_confirmed(pairs, sets, percent), "links")
+    sets = tables.write(restricted(docs, nodes, "doc_id").mapInArrow(_sets(shingle), "node long, hashes binary"), "sets", by="node")
+    links = tables.write(_confirmed(pairs, sets, percent), "links", by="a")
     member = named.select("doc_id", "digest").join(classes.select("digest", "node"), "digest")
     # Texts of one id are one document, whatever classes they are of.
     repeated = named.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
@@ -283,7 +283,7 @@ def groups(documents: DataFrame, shingle: int = 5, percent: int = 80, small: int
     wide = tables.write(rest.where(F.col("size") > small).groupBy("node").agg(F.first("component").alias("component")), "wide")
     nodes = across.select(F.explode(F.array("a", "b")).alias("node")).union(wide.select("node")).distinct().join(sets, "node", "left_anti")
     nodes = tables.write(nodes, "nodes")
-    more = tables.write(restricted(docs, nodes, "doc_id").mapInArrow(_sets(shingle), "node long, hashes binary"), "sets")
+    more = tables.write(restricted(docs, nodes, "doc_id").mapInArrow(_sets(shingle), "node long, hashes binary"), "sets", by="node")
     every = sets.union(more)
     tables.drop(buckets, rest)
     if not wide.isEmpty():
@@ -291,7 +291,7 @@ def groups(documents: DataFrame, shingle: int = 5, percent: int = 80, small: int
         met = tables.write(across.union(met).distinct(), "pairs")
         tables.drop(across)
         across = met
-    found = tables.write(_confirmed(across, every, percent), "links")
+    found = tables.write(_confirmed(across, every, percent), "links", by="a")
     if not found.isEmpty():
         comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
     tables.drop(pairs, links, same, sets, more, nodes, wide, across, found)

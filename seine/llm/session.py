@@ -80,9 +80,16 @@ class Tables:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self._paths = spark, {}
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """``df`` as a table; ``by``: a column by which its rows are first gathered into few files.
+
+        A local file system starts processes for each file (chmod), in an
+        executor's name, so a table that many tasks write little of is gathered
+        by a shuffle, whose partitions adaptive execution joins and splits by size.
+        For the same reason, and as this driver alone reads it, it has no success marker.
+        """
         path = scratch(self.spark, name)
-        df.write.parquet(path)
+        (df.hint("rebalance", by) if by else df).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = (path, out)  # the frame is held, so its id stays its own
         return out

@@ -107,6 +107,23 @@ def test_nothing_stays_but_what_is_read(spark):
     assert {p.rsplit("/", 1)[1].split("-")[0] for p in set(session.made()) - before} <= {"signatures", "edges"}
 
 
+def test_tables_of_many_tasks_are_few_files(spark, monkeypatch):
+    """Each file of a local file system starts processes, which look as large as the executor they are of."""
+    files = {}
+    real = session.Tables.write
+
+    def write(self, df, name, **options):
+        out = real(self, df, name, **options)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(session.Tables, "write", write)
+    rows = [(k, " ".join(f"w{k // 4}-{i}" for i in range(60)) + f" end{k}") for k in range(480)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(24)
+    assert neardup.groups(df, 2).where("kept").count() == 120
+    assert {"signatures", "buckets", "sets", "links"} <= set(files) and max(files.values()) <= 4, files
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "p q r"), (2, "p q r"), (3, "a b c"), (None, "a b c"), (4, None)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.groups(df, 2).collect()), key=str)
