@@ -26,3 +26,8 @@ def test_classes_at_the_bound(spark, tmp_path):
     sizes = (78_997, 78_998, 78_999, 79_000, 79_001, 79_500, 79_998, 79_999, 80_000, 80_001)
     texts = {k: "x" * sizes[k // 5] for k in range(5 * len(sizes))}
     assert same_as_sql(spark, tmp_path / "sf", "index_classes", texts) == len(texts)
+
+
+def test_sweep_with_empty_texts(spark, tmp_path):
+    texts = {k: "" if k % 4 == 0 else f"text {k}\n" for k in range(40)}
+    assert same_as_sql(spark, tmp_path / "sf", "tree_sweep", texts) > 10
