@@ -66,3 +66,13 @@ def test_only_the_wanted_trigrams_leave_python(spark, texts):
     got = sorted(map(tuple, I.postings(files, wanted).collect()))
     assert got == sorted((x, k) for k, t in enumerate(texts) for x in brute(t) & set(wanted))
     assert sorted(map(tuple, I.postings(files).collect())) == sorted((x, k) for k, t in enumerate(texts) for x in brute(t))
+
+
+@pytest.mark.parametrize("name", ["and_candidates", "or_candidates", "icase_candidates"])
+def test_queries_ask_for_what_the_plan_wants(spark, monkeypatch, name):
+    from seine import registry
+
+    asked, real = [], I.postings
+    monkeypatch.setattr(registry.I, "postings", lambda files, wanted=None: asked.append(wanted) or real(files, wanted))
+    assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert asked[0] is not None and 2 <= len(asked[0]) < 100
